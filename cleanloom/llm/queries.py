@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cleanloom.functions.session import table
 from cleanloom.llm.addresses import same_buildings
+from cleanloom.llm.linkage import match_people
+from cleanloom.llm.names import variant_names
 from cleanloom.llm.places import map_places
+from cleanloom.llm.survivors import survivor_records, survivors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,8 +24,28 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return map_places(table(spark, d, "source_records"), table(spark, d, "place_reference"), table(spark, d, "place_aliases"))
 
 
+def p4_survivors(spark: SparkSession, d: str) -> DataFrame:
+    return survivors(table(spark, d, "duplicate_groups"), table(spark, d, "source_records"), table(spark, d, "source_registry"), table(spark, d, "place_reference"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return survivor_records(p4_survivors(spark, d))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return variant_names(table(spark, d, "source_records"), table(spark, d, "corruption_events"), table(spark, d, "given_name_forms"))
+
+
+def p7_matches(spark: SparkSession, d: str) -> DataFrame:
+    return match_people(*(table(spark, d, t) for t in ("source_records", "partner_records", "place_reference", "place_aliases", "given_name_forms")))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_matches(spark, d).select("source_record_id_a", "source_record_id_b")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p3_found)}
+    return {f.__name__: f for f in (p1_found, p3_found, p4_survivors, p4_found, p6_found, p7_matches, p7_found)}
 
 
 def oracle_sql() -> dict[str, str]:

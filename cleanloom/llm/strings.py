@@ -82,7 +82,7 @@ def delete_forms(token: Column) -> Column:
     return F.array_distinct(F.concat(F.array(token), cuts))
 
 
-def corrections(counts: DataFrame, dominance: int = 4, shortest: int = 4) -> DataFrame:
+def corrections(counts: DataFrame, dominance: int = 4, shortest: int = 6) -> DataFrame:
     """From (token, n) to (token, fixed, n_fixed): the spelling of which the token is most likely a slip.
 
     A spelling is taken as meant if both share a form less one character (one edit or one swap apart) and it occurs
