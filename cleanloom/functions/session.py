@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,10 +47,47 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return have
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Ends the lineage in reliable storage, so that a lost executor costs a read and not the whole history."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+_WRITTEN: list[str] = []
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Ends the lineage in a table in the shared folder, so that a lost executor costs a read and not the whole history.
+
+    The files are columnar and compressed, and later reads take only the columns they need. They go when the process ends.
+    """
+    spark = df.sparkSession
+    home = checkpoint_dir(spark).rstrip("/")
+    path = f"{home}/cleanloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _WRITTEN:
+        atexit.register(_drop_written)
+    _WRITTEN.append(path)
+    tidy(spark)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the table behind what cut() gave, once nothing will read it again."""
+    spark = df.sparkSession
+    for f in df.inputFiles():
+        parent = f.rsplit("/", 1)[0]
+        if "/cleanloom-" in parent:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(parent)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            return
+
+
+def _drop_written() -> None:
+    for path in _WRITTEN:
+        local = path.removeprefix("file://").removeprefix("file:")
+        if os.path.isdir(local):
+            shutil.rmtree(local, ignore_errors=True)
 
 
 def ship(spark: SparkSession) -> None:
