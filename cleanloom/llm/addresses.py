@@ -59,7 +59,7 @@ def address_keys(records: DataFrame, reference: DataFrame, aliases: DataFrame, i
     entries = reference_entries(reference, aliases)
     places = sorted({words(n) for v in entries.values() for _, n, _ in v} - {""})
     a, c, d = columns
-    t = records.select(F.col(id_col).cast("string").alias("id"), F.col(a).cast("string").alias("address"), F.col(c).cast("string").alias("city"), F.col(d).cast("string").alias("district"))
+    t = records.select(F.col(id_col).alias("id"), F.col(a).cast("string").alias("address"), F.col(c).cast("string").alias("city"), F.col(d).cast("string").alias("district"))
     t = t.where(F.col("address").rlike(r"\p{Nd}") & F.col("address").rlike(r"\p{L}{2}"))
     t = parse_addresses(t, "address", places).withColumn("city_id", F.nullif(home_udf(entries)("city", "district", "address"), F.lit(0)))
     # the filter stands after the aggregation: below it, it would be evaluated with all the patterns once more

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cleanloom.functions.session import cut
+from cleanloom.functions.session import cut, drop
 from cleanloom.llm.addresses import address_keys
 from cleanloom.llm.names import align_udf, name_parts, short_forms
 from cleanloom.llm.survivors import email_key, phone_key
@@ -26,9 +26,10 @@ MATCH = 0.5
 
 
 def people_rows(records: DataFrame, columns: dict[str, str], side: str) -> DataFrame:
-    """One layout for both tables: id, side, first, last, email, phone, city, district, address."""
+    """One layout for both tables: id (64 bits of side and record id), side, first, last, email, phone, city, district, address."""
     cols = [F.col(columns[c]).cast("string").alias(c) for c in ("first", "last", "email", "phone", "city", "district", "address")]
-    return records.select(F.col(columns["id"]).cast("string").alias("rid"), *cols).where("rid IS NOT NULL").dropDuplicates(["rid"]).withColumn("side", F.lit(side)).withColumn("id", F.concat(F.lit(side), "rid"))
+    p = records.select(F.col(columns["id"]).cast("string").alias("rid"), *cols).where("rid IS NOT NULL").withColumn("side", F.lit(side))
+    return p.withColumn("id", F.xxhash64("side", "rid"))
 
 
 SOURCE = {"id": "source_record_id", "first": "first_name", "last": "last_name", "email": "email", "phone": "phone", "city": "city", "district": "district", "address": "address"}
@@ -39,7 +40,8 @@ def signatures(people: DataFrame, reference: DataFrame, aliases: DataFrame) -> t
     """(class table, membership): records that agree in every compared attribute are one class."""
     names = name_parts(people.select("id", "first", "last"), least=1)
     homes = address_keys(people, reference, aliases, "id").where("city_id IS NOT NULL").select("id", F.xxhash64("number", "street", "city_id").alias("home"))
-    t = people.select("id", "side", "rid", email_key(F.col("email")).alias("email"), phone_key(F.col("phone")).alias("phone"))
+    t = people.select("id", "side", "rid", F.xxhash64(email_key(F.col("email"))).alias("email"), phone_key(F.col("phone")).cast("long").alias("phone"), email_key(F.col("email")).isNull().alias("none"))
+    t = t.withColumn("email", F.when(~F.col("none"), F.col("email"))).drop("none").dropDuplicates(["id"])
     t = t.join(names, "id").join(homes, "id", "left").where("email IS NOT NULL OR phone IS NOT NULL OR home IS NOT NULL")
     attrs = ["side", "surname", "givens", "email", "phone", "home"]
     t = t.withColumn("cls", F.xxhash64(*[F.coalesce(F.to_json(F.struct(a)), F.lit("")) for a in attrs]))
@@ -53,7 +55,7 @@ def candidates(c: DataFrame, forms: list[tuple[str, str]]) -> DataFrame:
     A block is one value with one name, so a value shared by many people (a switchboard, a mall) falls apart by name.
     """
     name_keys = F.filter(F.concat(F.array(F.col("surname")), F.col("givens")), lambda g: F.length(g) > 2)
-    keys = F.filter(F.array(F.concat(F.lit("e"), "email"), F.concat(F.lit("p"), "phone"), F.concat(F.lit("h"), F.col("home").cast("string"))), lambda k: k.isNotNull())
+    keys = F.filter(F.array("email", "phone", "home"), lambda k: k.isNotNull())
     k = c.withColumn("name", F.explode(name_keys)).withColumn("key", F.explode(keys)).select("cls", "side", F.xxhash64("name", "key").alias("key"))
     a, b = k.select("key", F.col("cls").alias("u"), F.col("side").alias("su")), k.select("key", F.col("cls").alias("v"), F.col("side").alias("sv"))
     pairs = a.join(b, "key").where("u < v").select("u", "v").distinct()
@@ -152,10 +154,13 @@ def solve(values: DataFrame, rules: DataFrame, steps: int, rho: float) -> DataFr
         move = 2 * F.col("w") / (rho + 4 * F.col("w"))
         gap = F.when(exact, vi - vj).otherwise(F.greatest(vi + vj - 1, F.lit(0.0)))
         r = r.select("i", "j", "kind", "p", "w", "di", "dj", (vi - move * gap).alias("xi"), F.when(exact, vj + move * gap).otherwise(vj - move * gap).alias("xj"))
-        if step % 2 == 1:
-            r = cut(r)
+        r = cut(r)
         copies = r.select(F.inline(F.array(F.struct(F.col("i").alias("var"), (F.col("xi") + F.col("di")).alias("c")), F.struct(F.col("j").alias("var"), (F.col("xj") + F.col("dj")).alias("c")))))
         s = copies.groupBy("var").agg(F.sum("c").alias("s"), F.count("*").alias("n"))
         mean = (2 * F.col("t") + rho * F.col("s")) / (2 * F.col("t") + 2 * F.col("z") + rho * F.col("n"))
+        old = y
         y = cut(values.join(s, "var").select("var", F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean)).alias("y")))
+        for past in [old, last] if step else []:
+            drop(past)
+        last = r
     return y
