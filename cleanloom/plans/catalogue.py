@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cleanloom.functions.session import table
+from cleanloom.functions.session import cut, table
+from cleanloom.operators import feeds
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,8 +16,37 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "source_records")
 
 
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    return feeds.parsed_lines(table(spark, d, "feed_lines"), table(spark, d, "feed_files"), table(spark, d, "header_labels"))
+
+
+def p2_rejected(spark: SparkSession, d: str) -> DataFrame:
+    return feeds.rejected_rows(_parsed(spark, d))
+
+
+def p2_loaded(spark: SparkSession, d: str) -> DataFrame:
+    return feeds.loaded_rows(_parsed(spark, d))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_rejected(spark, d).select("line_id", "reason_code")
+
+
+def p5_changes(spark: SparkSession, d: str) -> DataFrame:
+    return feeds.schema_changes(feeds.file_schemas(table(spark, d, "feed_files"), _parsed(spark, d)))
+
+
+def p5_table(spark: SparkSession, d: str) -> DataFrame:
+    parsed = cut(_parsed(spark, d))
+    return feeds.unified_table(parsed, feeds.unified_types(feeds.file_schemas(table(spark, d, "feed_files"), parsed)))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_changes(spark, d).select("file_id", "change_type", "header").distinct()
+
+
 def queries() -> dict[str, Query]:
-    return {}
+    return {f.__name__: f for f in (p2_rejected, p2_loaded, p2_found, p5_changes, p5_table, p5_found)}
 
 
 def oracle_sql() -> dict[str, str]:
