@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(app: str = "cleanloom", cores: str | None = None, **conf: str) -> SparkSession:
@@ -72,6 +73,16 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a lookup table up to which it is sent to every executor; beyond that the join shuffles.
+LOOKUP_ROWS = 200_000
+
+
+def lookup(df: DataFrame, most: int = LOOKUP_ROWS) -> DataFrame:
+    """Written and counted: marked for broadcast only if it has few rows, else left to a shuffling join."""
+    c = cut(df)
+    return F.broadcast(c) if c.count() <= most else c
+
+
 def drop(df: DataFrame) -> None:
     """Deletes the table behind what cut() gave, once nothing will read it again."""
     spark = df.sparkSession

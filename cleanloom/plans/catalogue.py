@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cleanloom.functions.session import cut, table
 from cleanloom.operators import feeds
+from cleanloom.operators.quality import quality_summary
+from cleanloom.plans import record_queries
+from cleanloom.plans.crm import contacts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "source_records")
+    """The whole record-quality run over the contacts, summed up before and after normalisation."""
+    return quality_summary(contacts(spark, d))
 
 
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
@@ -46,8 +50,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_rejected, p2_loaded, p2_found, p5_changes, p5_table, p5_found)}
+    return record_queries.queries() | {f.__name__: f for f in (p2_rejected, p2_loaded, p2_found, p5_changes, p5_table, p5_found)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return record_queries.oracle_sql()
