@@ -59,7 +59,7 @@ def fold(x: Column) -> Column:
 def fold_py(x: str) -> str:
     """fold() for driver-side strings and Python workers."""
     x = x.translate(_FOLD).lower()
-    return x if x.isascii() else "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c))
+    return x if x.isascii() else "".join(c for c in x if unicodedata.category(c)[0] != "M")
 
 
 @F.pandas_udf(T.StringType())
