@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cleanloom.functions.session import cut
+from cleanloom.functions.session import cut, lookup
 from cleanloom.functions.text import fold
 from cleanloom.llm.places import matchers, reference_entries, words
 from cleanloom.llm.strings import corrections
@@ -37,7 +37,8 @@ def parse_addresses(t: DataFrame, column: str, places: list[str]) -> DataFrame:
     t = t.withColumn("postcode", F.nullif(F.regexp_extract(y, r"\b(\d{5})\b", 1), F.lit("")))
     t = t.withColumn("_y", F.trim(F.regexp_replace(y, rf"\b\d{{5,}}\b|\b(?:{INSIDE}) ?\d+\b", " ")))
     t = t.withColumn("_y", F.regexp_replace(y, " +", " "))
-    t = t.withColumn("_p", F.when(F.regexp_like(y, F.lit(marked)), F.regexp_replace(y, marked, " | $1 $2| ")).otherwise(F.regexp_replace(y, bare, " | $1 $2| ")))
+    t = t.withColumn("_m", F.regexp_replace(y, marked, " | $1 $2| "))
+    t = t.withColumn("_p", F.when(F.col("_m") != y, F.col("_m")).otherwise(F.regexp_replace(y, bare, " | $1 $2| "))).drop("_m")
     t = t.withColumn("_n", F.regexp_extract(F.col("_p"), r"\| (\d+ [a-z]?)\|", 1))
     t = t.withColumn("number", F.nullif(F.replace(F.col("_n"), F.lit(" "), F.lit("")), F.lit("")))
     t = t.withColumn("_y", F.regexp_replace(F.regexp_replace(F.col("_p"), r"\| \d+ [a-z]?\||[/-]+", " | "), " +", " "))
@@ -49,29 +50,35 @@ def parse_addresses(t: DataFrame, column: str, places: list[str]) -> DataFrame:
     return t.withColumn("street", F.coalesce("_s", F.when(F.col("_s").isNull(), other))).drop("_y", "_p", "_n", "_s")
 
 
+def read_addresses(records: DataFrame, reference: DataFrame, aliases: DataFrame, columns: tuple[str, str, str] = ("address", "city", "district")) -> DataFrame:
+    """The records with number, street, quarter, postcode and city_id of their address, null where it names no building; no shuffle."""
+    entries = reference_entries(reference, aliases)
+    places = sorted({words(n) for v in entries.values() for _, n, _ in v} - {""})
+    t = records.withColumns({f"_in_{k}": F.col(c).cast("string") for k, c in zip("acd", columns)})
+    usable = F.col("_in_a").rlike(r"\p{Nd}") & F.col("_in_a").rlike(r"\p{L}{2}")
+    t = parse_addresses(t.withColumn("_in_a", F.when(usable, F.col("_in_a"))), "_in_a", places)
+    return t.withColumn("city_id", F.nullif(home_udf(entries)("_in_c", "_in_d", "_in_a"), F.lit(0))).drop("_in_a", "_in_c", "_in_d")
+
+
+def settle_addresses(t: DataFrame) -> DataFrame:
+    """Streets corrected against the spellings of all rows (see corrections()), and cities that only a postcode tells: that of most rows with it."""
+    codes = t.where("postcode IS NOT NULL AND city_id IS NOT NULL").groupBy("postcode", "city_id").count()
+    codes = codes.groupBy("postcode").agg(F.max_by("city_id", F.struct("count", "city_id")).alias("code_city"))
+    fixes = corrections(t.where("street IS NOT NULL").groupBy(F.col("street").alias("token")).agg(F.count("*").alias("n")))
+    t = t.join(lookup(fixes.select(F.col("token").alias("street"), "fixed")), "street", "left").withColumn("street", F.coalesce("fixed", "street")).drop("fixed")
+    # at most 100 000 codes of five digits exist, whatever the number of rows
+    return t.join(F.broadcast(codes), "postcode", "left").withColumn("city_id", F.coalesce("city_id", "code_city")).drop("code_city")
+
+
 def address_keys(records: DataFrame, reference: DataFrame, aliases: DataFrame, id_col: str = "source_record_id", columns: tuple[str, str, str] = ("address", "city", "district")) -> DataFrame:
     """(id, number, street, quarter, city_id): one row per id with a usable address; city_id null where nothing tells it.
 
-    Streets are corrected against the spellings of all rows (symmetric one-deletion index, see corrections()). The city comes
-    from the city value, else from the end of the address, the district or the postcode; a postcode stands for the city that most
-    rows with it have.
+    The city comes from the city value, else from the end of the address, the district or the postcode.
     """
-    entries = reference_entries(reference, aliases)
-    places = sorted({words(n) for v in entries.values() for _, n, _ in v} - {""})
-    a, c, d = columns
-    t = records.select(F.col(id_col).alias("id"), F.col(a).cast("string").alias("address"), F.col(c).cast("string").alias("city"), F.col(d).cast("string").alias("district"))
-    t = t.where(F.col("address").rlike(r"\p{Nd}") & F.col("address").rlike(r"\p{L}{2}"))
-    t = parse_addresses(t, "address", places).withColumn("city_id", F.nullif(home_udf(entries)("city", "district", "address"), F.lit(0)))
+    t = read_addresses(records.select(F.col(id_col).alias("id"), *columns), reference, aliases, columns)
     # the filter stands after the aggregation: below it, it would be evaluated with all the patterns once more
     t = t.select("id", "number", "street", "quarter", "postcode", "city_id").dropDuplicates(["id"]).where("number IS NOT NULL AND street IS NOT NULL")
-    t = cut(t)
-    codes = t.where("postcode IS NOT NULL AND city_id IS NOT NULL").groupBy("postcode", "city_id").count()
-    codes = codes.groupBy("postcode").agg(F.max_by("city_id", F.struct("count", "city_id")).alias("code_city"))
-    fixes = corrections(t.groupBy(F.col("street").alias("token")).agg(F.count("*").alias("n")))
-    t = t.join(fixes.select(F.col("token").alias("street"), "fixed"), "street", "left").withColumn("street", F.coalesce("fixed", "street")).drop("fixed")
-    # at most 100 000 codes of five digits exist, whatever the number of rows
-    t = t.join(F.broadcast(codes), "postcode", "left").withColumn("city_id", F.coalesce("city_id", "code_city"))
-    return t.select("id", "number", "street", "quarter", "city_id")
+    return settle_addresses(cut(t)).select("id", "number", "street", "quarter", "city_id")
 
 
 def home_udf(entries: dict[str, list[tuple[int, str, int | None]]]) -> Callable[[Column, Column, Column], Column]:
@@ -89,7 +96,9 @@ def home_udf(entries: dict[str, list[tuple[int, str, int | None]]]) -> Callable[
                     return homes.pop()
             return 0
 
-        def home(c: str | None, d: str | None, a: str) -> int:
+        def home(c: str | None, d: str | None, a: str | None) -> int:
+            if a is None:
+                return 0
             at = city.resolve(c)
             if at:
                 return at

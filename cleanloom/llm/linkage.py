@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cleanloom.functions.session import cut, drop
-from cleanloom.llm.addresses import address_keys
+from cleanloom.llm.addresses import read_addresses, settle_addresses
 from cleanloom.llm.names import align_udf, name_parts, short_forms
 from cleanloom.llm.survivors import email_key, phone_key
 
@@ -37,14 +37,26 @@ PARTNER = {"id": "source_record_id", "first": "given_name", "last": "surname", "
 
 
 def signatures(people: DataFrame, reference: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(class table, membership): records that agree in every compared attribute are one class."""
-    names = name_parts(people.select("id", "first", "last"), least=1)
-    homes = address_keys(people, reference, aliases, "id").where("city_id IS NOT NULL").select("id", F.xxhash64("number", "street", "city_id").alias("home"))
-    t = people.select("id", "side", "rid", F.xxhash64(email_key(F.col("email"))).alias("email"), phone_key(F.col("phone")).cast("long").alias("phone"), email_key(F.col("email")).isNull().alias("none"))
-    t = t.withColumn("email", F.when(~F.col("none"), F.col("email"))).drop("none").dropDuplicates(["id"])
-    t = t.join(names, "id").join(homes, "id", "left").where("email IS NOT NULL OR phone IS NOT NULL OR home IS NOT NULL")
+    """(class table, membership): records that agree in every compared attribute are one class.
+
+    Everything that costs a shuffle is done only for records that can match: partner records, source records that share an e-mail,
+    phone or building with one, and source records that share one with those.
+    """
+    t = people.select("id", "side", "rid", "first", "last", email_key(F.col("email")).alias("email"), phone_key(F.col("phone")).cast("long").alias("phone"), "address", "city", "district")
+    t = cut(read_addresses(t, reference, aliases).drop("address", "city", "district", "quarter").withColumn("email", F.when(F.col("email").isNotNull(), F.xxhash64("email"))))
+    home = F.when(F.col("number").isNotNull() & F.col("street").isNotNull() & F.col("city_id").isNotNull(), F.xxhash64("number", "street", "city_id"))
+    full = cut(settle_addresses(t).select("id", "side", "rid", "first", "last", "email", "phone", home.alias("home")))
+    key = full.select("id", "side", F.explode(F.filter(F.array("email", "phone", "home"), lambda k: k.isNotNull())).alias("key"))
+    mine, theirs = key.where("side = 'a'").select("id", "key"), key.where("side = 'b'").select("key")
+    first = mine.join(theirs, "key", "left_semi").select("id")
+    reached = mine.join(first, "id", "left_semi").select("key")
+    second = mine.join(reached, "key", "left_semi").select("id")
+    part = full.where("side = 'a'").join(second, "id", "left_semi").unionByName(full.where("side = 'b' AND (email IS NOT NULL OR phone IS NOT NULL OR home IS NOT NULL)"))
+    part = cut(part)
+    names = name_parts(part.select("id", "first", "last"), full.select("id", "first", "last"), least=1)
     attrs = ["side", "surname", "givens", "email", "phone", "home"]
-    t = t.withColumn("cls", F.xxhash64(*[F.coalesce(F.to_json(F.struct(a)), F.lit("")) for a in attrs]))
+    t = part.drop("first", "last").dropDuplicates(["id"]).join(names, "id")
+    t = t.withColumn("cls", F.xxhash64("side", "surname", F.to_json("givens"), *[F.coalesce(a, F.lit(0)) for a in ("email", "phone", "home")]))
     t = cut(t.select("cls", "rid", *attrs))
     return t.select("cls", *attrs).dropDuplicates(["cls"]), t.select("cls", "side", "rid")
 

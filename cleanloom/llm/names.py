@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cleanloom.functions.session import cut
+from cleanloom.functions.session import cut, lookup
 from cleanloom.functions.text import fold, fold_py, present
 from cleanloom.llm.strings import PLACEHOLDERS, corrections, delete_forms, osa, reach
 
 # Titles before Turkish and English names, folded.
-TITLES = "dr|sn|bay|bayan|sayin|prof|doc|av|muh|mr|mrs|ms"
+TITLES = ("dr", "sn", "bay", "bayan", "sayin", "prof", "doc", "av", "muh", "mr", "mrs", "ms")
 # Lines of business in company names, folded; a value may cut them to three letters or more.
 SECTORS = (
     "mobilya", "sigortacilik", "tarim", "makina", "turizm", "ambalaj", "seramik", "kirtasiye", "gida", "elektrik", "tekstil", "denizcilik",
@@ -31,14 +31,13 @@ LONGEST_SHORT_FORM = 6
 
 def name_tokens(x: Column) -> Column:
     """Folded words of a name as typed; hyphens join, titles go."""
-    y = F.regexp_replace(F.replace(fold(F.coalesce(x, F.lit(""))), F.lit("-"), F.lit("")), "[^a-z]+", " ")
-    return F.regexp_extract_all(F.regexp_replace(y, rf"\b(?:{TITLES})\b", " "), F.lit(r"\b([a-z]+)\b"), F.lit(1))
+    y = F.replace(fold(F.coalesce(x, F.lit(""))), F.lit("-"), F.lit(""))
+    return F.filter(F.regexp_extract_all(y, F.lit("([a-z]+)"), F.lit(1)), lambda w: ~w.isin(*TITLES))
 
 
 def token_rows(people: DataFrame) -> DataFrame:
     """(id, first, last) to (id, pos, token, is_first); placeholders have no tokens."""
-    blank = F.array(*map(F.lit, PLACEHOLDERS))
-    tokens = lambda c: F.when(F.array_contains(blank, F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))), F.array().cast("array<string>")).otherwise(name_tokens(F.col(c)))
+    tokens = lambda c: F.when(F.lower(F.trim(c)).isin(*PLACEHOLDERS), F.array().cast("array<string>")).otherwise(name_tokens(F.col(c)))
     p = people.select("id", tokens("first").alias("f"), tokens("last").alias("l"))
     both = F.concat(F.transform("f", lambda w: F.struct(w.alias("token"), F.lit(1).alias("is_first"))), F.transform("l", lambda w: F.struct(w.alias("token"), F.lit(0).alias("is_first"))))
     return p.select("id", F.posexplode(both).alias("pos", "t")).select("id", "pos", "t.token", "t.is_first")
@@ -62,7 +61,7 @@ def name_parts(people: DataFrame, everyone: DataFrame | None = None, least: int
     t = token_rows(people.dropDuplicates(["id"]))
     v = name_vocabulary(t if everyone is None else token_rows(everyone))
     entry = F.struct("pos", F.col("fixed").alias("token"), "n", "given")
-    g = t.join(v, "token").groupBy("id").agg(F.collect_list(entry).alias("ts")).where(F.size("ts") >= least)
+    g = t.join(lookup(v), "token").groupBy("id").agg(F.collect_list(entry).alias("ts")).where(F.size("ts") >= least)
     rank = F.array_min(F.transform("ts", lambda x: F.struct((F.length(x["token"]) < 3).alias("a"), F.round(x["given"], 1).alias("b"), x["n"].alias("c"), (-x["pos"]).alias("d"))))
     g = g.withColumn("at", F.when((F.size("ts") > 1) | (F.col("ts")[0]["given"] <= 0.5), -rank["d"]).otherwise(-1))
     surname = F.coalesce(F.get(F.filter("ts", lambda x: x["pos"] == F.col("at")), F.lit(0))["token"], F.lit(""))
