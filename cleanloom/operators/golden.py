@@ -119,7 +119,8 @@ def corrupt(records: DataFrame, seed: int, percent: int = 30, most: int = 3, wei
         t = t.withColumn(f"_a_{f}", after)
         events.append(F.when(v.isNotNull() & ~F.col(f"_a_{f}").eqNullSafe(v), F.struct(F.col(f"_k_{f}").alias("corruption_type"), F.lit(f).alias("field_name"), v.alias("before_value"), F.col(f"_a_{f}").alias("after_value"))))
     t = t.withColumn("_e", F.filter(F.array(*events), lambda x: x.isNotNull()))
-    log = t.select("person_id", key, source, F.inline("_e")).withColumn("severity", F.when(F.col("corruption_type").isin("missing_value", "email_corruption", "field_conflict"), "high").when(F.col("corruption_type") == "typo", "medium").otherwise("low"))
+    # inline_outer, as an inner one would infer a filter that repeats every operator below it
+    log = t.select("person_id", key, source, F.inline_outer("_e")).where("corruption_type IS NOT NULL").withColumn("severity", F.when(F.col("corruption_type").isin("missing_value", "email_corruption", "field_conflict"), "high").when(F.col("corruption_type") == "typo", "medium").otherwise("low"))
     keep = [c for c in records.columns if c not in CANONICAL_FIELDS]
     return t.select(*keep, *(F.col(f"_a_{f}").alias(f) for f in CANONICAL_FIELDS)), log.select("corruption_type", "field_name", "before_value", "after_value", "severity", "person_id", key, source)
 
