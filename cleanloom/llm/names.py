@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from cleanloom.functions.session import cut, lookup
 from cleanloom.functions.text import fold, fold_py, present
-from cleanloom.llm.strings import PLACEHOLDERS, corrections, delete_forms, osa, reach
+from cleanloom.llm.strings import PLACEHOLDERS, corrections, delete_forms, edit_count, osa, reach, reach_forms
 
 # Titles before Turkish and English names, folded.
 TITLES = ("dr", "sn", "bay", "bayan", "sayin", "prof", "doc", "av", "muh", "mr", "mrs", "ms")
@@ -204,19 +204,50 @@ def same_core(cores: DataFrame, rounds: int = 2) -> DataFrame:
     return roots
 
 
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node) and links (x, y) to (node, root): what links connect gets one root, over as many steps as the longest chain takes."""
+    both = cut(links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))))
+    roots = nodes.select("node", F.col("node").alias("root"))
+    moved = True
+    while moved:
+        least = both.join(roots.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.min("root").alias("r")).withColumnRenamed("x", "node")
+        roots = cut(roots.join(least, "node", "left").select("node", F.least("root", "r").alias("root"), (F.col("r") < F.col("root")).alias("moved")))
+        moved = not roots.where("moved").isEmpty()
+        roots = roots.select("node", "root")
+    return roots
+
+
+def same_organisations(spellings: DataFrame) -> DataFrame:
+    """(core, sector) distinct to (core, sector, root): the spellings of one organisation get one root.
+
+    Cores meet under a form less as many characters as reach() allows edits, are verified by their edit distance, and link within
+    one line of business. Spellings without one link among themselves; together they belong to the organisation nearest to them,
+    if there is only one at that distance.
+    """
+    s = cut(spellings.withColumn("node", F.xxhash64("core", F.coalesce("sector", F.lit("")))))
+    forms = s.withColumn("form", F.explode(reach_forms(F.col("core")))).where((F.length("form") > 3) | (F.col("form") == F.col("core")))
+    forms = forms.select("node", "core", "sector", F.xxhash64("form").alias("form"))
+    a, b = forms.select("form", *[F.col(c).alias(f"{c}_x") for c in ("node", "core", "sector")]), forms.select("form", *[F.col(c).alias(f"{c}_y") for c in ("node", "core", "sector")])
+    met = a.join(b, "form").where("sector_x = sector_y AND node_x < node_y OR sector_x IS NULL AND (sector_y IS NOT NULL OR node_x < node_y)")
+    met = met.drop("form").distinct().withColumn("n", edit_count("core_x", "core_y")).where("n < 3")
+    met = cut(met.select(F.col("node_x").alias("x"), F.col("node_y").alias("y"), "n", (F.col("sector_x").isNull() & F.col("sector_y").isNotNull()).alias("bare")))
+    roots = components(s.select("node"), met.where("NOT bare"))
+    x, y = roots.select(F.col("node").alias("x"), "root"), roots.select(F.col("node").alias("y"), F.col("root").alias("home"))
+    at = met.where("bare").join(x, "x").join(y, "y").groupBy("root", "home").agg(F.min("n").alias("n"))
+    nearest = at.groupBy("root").agg(F.min("n").alias("n")).join(at, ["root", "n"]).groupBy("root").agg(F.min("home").alias("home"), F.max("home").alias("other"))
+    roots = roots.join(nearest.where("home = other").select("root", "home"), "root", "left").select("node", F.coalesce("home", "root").alias("root"))
+    return s.join(roots, "node").select("core", "sector", "root")
+
+
 def same_company_names(companies: DataFrame) -> DataFrame:
     """(id, company) to pairs (a, b), a < b, of ids whose companies are one organisation.
 
     An organisation is its core name, whatever slips, order, spacing or legal form, within one line of business. A value without a
     line of business belongs to the organisation of that core if there is only one.
     """
-    p = company_parts(companies).dropDuplicates(["id"])
-    p = cut(p)
-    roots = same_core(p.select("core").distinct())
-    p = p.join(roots, "core").select("id", "root", "sector")
-    only = p.where("sector IS NOT NULL").groupBy("root").agg(F.min("sector").alias("only"), F.max("sector").alias("other"))
-    only = only.where("only = other").select("root", "only")
-    p = p.join(only, "root", "left").select("id", F.xxhash64("root", F.coalesce("sector", "only", F.lit(""))).alias("cls"))
+    p = cut(company_parts(companies).dropDuplicates(["id"]))
+    roots = same_organisations(p.select("core", "sector").distinct()).select(F.col("core").alias("c"), F.col("sector").alias("s"), F.col("root").alias("cls"))
+    p = p.join(roots, (F.col("core") == F.col("c")) & F.col("sector").eqNullSafe(F.col("s"))).select("id", "cls")
     return pairs_of_links(p.select(F.col("cls").alias("ca"), F.col("cls").alias("cb")).distinct(), p)
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What people type when they have nothing to say; compared after folding, without punctuation at the ends.
 PLACEHOLDERS = (
@@ -82,6 +84,19 @@ def delete_forms(token: Column) -> Column:
     return F.array_distinct(F.concat(F.array(token), cuts))
 
 
+def reach_forms(token: Column) -> Column:
+    """The token less as many characters as reach() allows edits: words within that many edits share a form."""
+    once = delete_forms(token)
+    return F.when(F.length(token) < 4, F.array(token)).when(F.length(token) < 7, once).otherwise(F.array_distinct(F.flatten(F.transform(once, delete_forms))))
+
+
+@F.pandas_udf(T.IntegerType())
+def edit_count(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Edits between a and b; three stands for anything above what reach() allows the shorter one."""
+    near = ((osa(x, y, k), k) for x, y, k in zip(a, b, (reach(min(len(x), len(y))) for x, y in zip(a, b))))
+    return pd.Series([n if n <= k else 3 for n, k in near], dtype="int32")
+
+
 def corrections(counts: DataFrame, dominance: int = 4, shortest: int = 6) -> DataFrame:
     """From (token, n) to (token, fixed, n_fixed): the spelling of which the token is most likely a slip.
 

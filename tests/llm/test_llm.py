@@ -91,6 +91,19 @@ def test_variant_names(spark):
     assert {tuple(x) for x in names.variant_names(r, e, f).collect()} == {("person", "a", "b"), ("company", "a", "b")}
 
 
+def test_companies_mistyped_in_two_places(spark):
+    rows = [("a", "Huyom Virigf Plastik"), ("b", "Huyom Viriggi Plastik"), ("c", "Pezilhumafoo"), ("d", "Pezilhuzafo Matbaacılık"), ("e", "Huyom Virigf Gıda")]
+    rows += [("f", "Bekado Tarım"), ("g", "Bekuda Tarım"), ("h", "Zovilupane"), ("i", "Zovilupane Kimya"), ("j", "Zovilupame Seramik"), (None, None), ("k", "yok"), ("k", "yok")]
+    got = {tuple(x) for x in names.same_company_names(spark.createDataFrame(rows, "id string, company string")).collect()}
+    assert got == {("a", "b"), ("c", "d"), ("h", "i")}  # e: another line of business; f, g: two edits in six letters
+
+
+def test_a_chain_of_slips_is_one_organisation(spark):
+    cores = ["zovilupanekatu", "zovilupanekaxx", "zovilupanezzxx", "zoviluqqnezzxx", "zowwluqqnezzxx", "vvwwluqqnezzxx"]
+    got = names.same_organisations(spark.createDataFrame([(c, "gida") for c in cores], "core string, sector string")).collect()
+    assert len(got) == 6 and len({r.root for r in got}) == 1
+
+
 def test_alternating_directions_reach_the_optimum(spark):
     v = spark.createDataFrame([(1, 3.0, 1.0), (2, 0.0, 1.0), (3, 2.0, 1.0)], "var long, t double, z double")
     r = spark.createDataFrame([(1, 2, "same", 1.0), (1, 3, "other", 0.0)], "i long, j long, kind string, p double")
