@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +27,12 @@ WEIGHTS = {
     "transitive": 4.0,  # a record matches both of two records of one person, or neither
 }
 MATCH = 0.5
+#: Alternating directions end where no copy differs from its mean, and no mean (times rho) from the one before, by more than this.
+TOLERANCE = 1e-6
+#: Steps after which an error is raised; the problem is strongly convex, so that they don't come to an end only on broken input.
+MOST_STEPS = 100_000
+#: Rules of one partner up to which they are gathered in one row; the rules of a larger one stay in tables.
+GROUP_RULES = 200_000
 
 
 def people_rows(records: DataFrame, columns: dict[str, str], side: str) -> DataFrame:
@@ -103,7 +113,6 @@ def match_people(
     aliases: DataFrame,
     given_name_forms: DataFrame,
     columns: tuple[dict[str, str], dict[str, str]] = (SOURCE, PARTNER),
-    steps: int = 8,
     rho: float = 4.0,
 ) -> DataFrame:
     """(source_record_id_a, source_record_id_b, confidence) of records of both tables that are one person, confidence in (0.5, 1].
@@ -112,9 +121,9 @@ def match_people(
     agreeing names towards 1, other e-mails, phones or given names towards 0. Two source classes that are one person match a
     partner class both or neither (transitivity, by which pairs without a common attribute get their value); two that aren't share
     it (exclusivity). All rules are squared hinges, so the problem is convex; alternating directions solve it: every rule
-    improves its own copies of the values by a closed form, then the copies of each value are averaged, one join and one
-    aggregation a step over tables of candidates, never over records. Candidates without a coupling rule have their optimum in
-    closed form and take no part in the steps.
+    improves its own copies of the values by a closed form, then the copies of each value are averaged, until both residuals are
+    within TOLERANCE. A rule couples values of one partner class, so the problem falls apart by partner and each part is solved
+    whole. Candidates without a coupling rule have their optimum in closed form and take no part in the steps.
 
     Null, blank, masked and placeholder attributes say nothing; records without a name or without any of e-mail, phone and
     building match nothing; repeated rows count once; extra columns are ignored; empty tables give an empty result.
@@ -134,12 +143,11 @@ def match_people(
     # coupling rules of two values with one partner
     left, right = x.select("v", "u", F.col("var").alias("i")), x.select("v", F.col("u").alias("w"), F.col("var").alias("j"))
     tied = left.join(link, "u").join(right, ["v", "w"]).where("i < j")
-    rules = tied.select("i", "j", F.when(F.col("p") >= MATCH, "same").otherwise("other").alias("kind"), F.col("p"))
-    rules = cut(rules)
+    rules = cut(tied.select("v", "i", "j", F.when(F.col("p") >= MATCH, "same").otherwise("other").alias("kind"), F.col("p")))
     coupled = rules.select(F.explode(F.array("i", "j")).alias("var")).distinct()
     free = x.join(coupled, "var", "left_anti").select("var", "u", "v", (F.col("t") / (F.col("t") + F.col("z"))).alias("y"))
-    mine = cut(x.join(coupled, "var").select("var", "t", "z"))
-    y = solve(mine, rules, steps, rho)
+    mine = cut(x.join(coupled, "var").select("v", "var", "t", "z"))
+    y = solve_groups(mine, rules, rho)
     solved = x.join(y, "var").select("var", "u", "v", "y")
     found = free.unionByName(solved).where(F.col("y") > MATCH)
     a, b = member.where("side = 'a'").select(F.col("cls").alias("u"), F.col("rid").alias("source_record_id_a")), member.where("side = 'b'").select(F.col("cls").alias("v"), F.col("rid").alias("source_record_id_b"))
@@ -147,14 +155,85 @@ def match_people(
     return out.groupBy("source_record_id_a", "source_record_id_b").agg(F.round(F.max("y"), 4).alias("confidence"))
 
 
+def rule_weight() -> Column:
+    return F.when(F.col("kind") == "same", WEIGHTS["transitive"] * F.col("p")).otherwise(WEIGHTS["exclusive"] * (1 - F.col("p")))
+
+
+def solve_groups(values: DataFrame, rules: DataFrame, rho: float, largest: int = GROUP_RULES) -> DataFrame:
+    """Values (v, var, t, z) with rules (v, i, j, kind, p) within a v to (var, y), the optimum of each v to TOLERANCE.
+
+    The values and rules of a v are gathered and many v are solved at once, each until it settles; a v of more than ``largest``
+    rules is solved over tables.
+    """
+    hot = cut(rules.groupBy("v").count().where(F.col("count") > largest).select("v"))
+    none = F.lit(None).cast("long")
+    rows = values.select("v", F.struct(F.lit(0).alias("kind"), F.col("var").alias("i"), none.alias("j"), F.col("t").alias("a"), F.col("z").alias("b")).alias("r")).unionByName(
+        rules.select("v", F.struct(F.when(F.col("kind") == "same", 1).otherwise(2).alias("kind"), "i", "j", rule_weight().alias("a"), F.lit(0.0).alias("b")).alias("r"))
+    )
+    some = not hot.isEmpty()
+    if some:
+        rows = rows.join(hot, "v", "left_anti")
+    y = rows.groupBy("v").agg(F.collect_list("r").alias("rs")).select("rs").mapInArrow(lambda batches: settle_batches(batches, rho), "var long, y double")
+    if some:
+        y = y.unionByName(solve(values.join(hot, "v", "left_semi").drop("v"), rules.join(hot, "v", "left_semi").drop("v"), MOST_STEPS, rho))
+    return cut(y)
+
+
+def settle_batches(batches: Iterator[pa.RecordBatch], rho: float) -> Iterator[pa.RecordBatch]:
+    """Batches of rows rs, an array of the values (kind 0) and rules (1 same, 2 other) of one group, to (var, y)."""
+    for batch in batches:
+        lists = batch.column(0)
+        r = lists.flatten()
+        group = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        col = lambda k: r.field(k).to_numpy(zero_copy_only=False)  # noqa: E731, B023
+        kind, first, a, b = col("kind"), col("i"), col("a"), col("b")
+        value, rule = kind == 0, kind > 0
+        order = np.argsort(first[value])
+        var = first[value][order]
+        second = r.field("j").fill_null(0).to_numpy(zero_copy_only=False)
+        at = lambda ids: np.searchsorted(var, ids[rule])  # noqa: E731, B023
+        y = settle(a[value][order], b[value][order], group[value][order], at(first), at(second), kind[rule] == 1, a[rule], rho)
+        yield pa.RecordBatch.from_arrays([pa.array(var), pa.array(y)], names=["var", "y"])
+
+
+def settle(t: np.ndarray, z: np.ndarray, group: np.ndarray, i: np.ndarray, j: np.ndarray, same: np.ndarray, w: np.ndarray, rho: float) -> np.ndarray:
+    """Consensus alternating directions as in solve(), over arrays: a group leaves them when both of its residuals are in TOLERANCE."""
+    out = t / (t + z)
+    mine, y = np.arange(len(t)), out.copy()
+    di, dj = np.zeros(len(w)), np.zeros(len(w))
+    for step in range(MOST_STEPS):
+        vi, vj = y[i] - di, y[j] - dj
+        gap = 2 * w / (rho + 4 * w) * np.where(same, vi - vj, np.maximum(vi + vj - 1, 0.0))
+        xi, xj = vi - gap, np.where(same, vj + gap, vj - gap)
+        n = np.bincount(i, minlength=len(y)) + np.bincount(j, minlength=len(y))
+        s = np.bincount(i, xi + di, len(y)) + np.bincount(j, xj + dj, len(y))
+        old, y = y, np.clip((2 * t + rho * s) / (2 * t + 2 * z + rho * n), 0.0, 1.0)
+        di, dj = di + xi - y[i], dj + xj - y[j]
+        if step % 5 < 4:
+            continue
+        off = np.zeros(group.max() + 1 if len(group) else 0)
+        np.maximum.at(off, group, rho * np.abs(y - old))
+        np.maximum.at(off, group[i], np.maximum(np.abs(xi - y[i]), np.abs(xj - y[j])))
+        out[mine] = y
+        stay = off[group] > TOLERANCE
+        if not stay.any():
+            return out
+        if not stay.all():
+            rules, place = stay[i], np.cumsum(stay) - 1
+            i, j, same, w, di, dj = place[i[rules]], place[j[rules]], same[rules], w[rules], di[rules], dj[rules]
+            t, z, group, mine, y = t[stay], z[stay], group[stay], mine[stay], y[stay]
+    raise ArithmeticError(f"not settled after {MOST_STEPS} steps")
+
+
 def solve(values: DataFrame, rules: DataFrame, steps: int, rho: float) -> DataFrame:
     """Consensus alternating directions: values (var, t, z) with rules (i, j, kind, p) to (var, y).
 
     The pull of a value's own rules, t towards 1 and z towards 0, is kept in the averaging step, which then has the closed form
     (2 t + rho * sum(copy + dual)) / (2 t + 2 z + rho * n). A rule minimises w * hinge(c . x + d)^2 + rho / 2 * |x - (y - dual)|^2.
+    The steps end when both residuals are within TOLERANCE, at the latest after ``steps``.
     """
     exact = F.col("kind") == "same"
-    w = F.when(exact, WEIGHTS["transitive"] * F.col("p")).otherwise(WEIGHTS["exclusive"] * (1 - F.col("p")))
+    w = rule_weight()
     y = values.select("var", (F.col("t") / (F.col("t") + F.col("z"))).alias("y"))
     r = rules.withColumn("w", w).withColumn("di", F.lit(0.0)).withColumn("dj", F.lit(0.0))
     for step in range(steps):
@@ -167,12 +246,17 @@ def solve(values: DataFrame, rules: DataFrame, steps: int, rho: float) -> DataFr
         gap = F.when(exact, vi - vj).otherwise(F.greatest(vi + vj - 1, F.lit(0.0)))
         r = r.select("i", "j", "kind", "p", "w", "di", "dj", (vi - move * gap).alias("xi"), F.when(exact, vj + move * gap).otherwise(vj - move * gap).alias("xj"))
         r = cut(r)
-        copies = r.select(F.inline(F.array(F.struct(F.col("i").alias("var"), (F.col("xi") + F.col("di")).alias("c")), F.struct(F.col("j").alias("var"), (F.col("xj") + F.col("dj")).alias("c")))))
-        s = copies.groupBy("var").agg(F.sum("c").alias("s"), F.count("*").alias("n"))
+        copy = lambda k: F.struct(F.col(k).alias("var"), (F.col(f"x{k}") + F.col(f"d{k}")).alias("c"), F.col(f"x{k}").alias("x"))
+        copies = r.select(F.inline(F.array(copy("i"), copy("j"))))
+        s = copies.groupBy("var").agg(F.sum("c").alias("s"), F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
         mean = (2 * F.col("t") + rho * F.col("s")) / (2 * F.col("t") + 2 * F.col("z") + rho * F.col("n"))
         old = y
-        y = cut(values.join(s, "var").select("var", F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean)).alias("y")))
+        new = F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean))
+        off = F.greatest(F.abs(F.col("low") - F.col("new")), F.abs(F.col("high") - F.col("new")), rho * F.abs(F.col("new") - F.col("y")))
+        y = cut(values.join(s, "var").join(old, "var").withColumn("new", new).select("var", F.col("new").alias("y"), off.alias("off")))
         for past in [old, last] if step else []:
             drop(past)
         last = r
-    return y
+        if not y.where(F.col("off") > TOLERANCE).take(1):
+            break
+    return y.select("var", "y")

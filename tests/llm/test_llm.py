@@ -117,6 +117,31 @@ def test_alternating_directions_reach_the_optimum(spark):
     assert loss(got[1], got[2], got[3]) <= min(loss(*x) for x in itertools.product(steps, repeat=3)) + 1e-3
 
 
+def slopes(values, rules, y):
+    """Largest slope of the loss along which a value may still move."""
+    w, g = linkage.WEIGHTS, {k: 2 * (t + z) * y[k] - 2 * t for k, t, z in values}
+    for i, j, kind, p in rules:
+        a, b = (2 * w["transitive"] * p * (y[i] - y[j]), -1) if kind == "same" else (2 * w["exclusive"] * (1 - p) * max(0, y[i] + y[j] - 1), 1)
+        g[i], g[j] = g[i] + a, g[j] + a * b
+    return max(abs(s) for k, s in g.items() if not (y[k] <= 0 and s > 0 or y[k] >= 1 and s < 0))
+
+
+@pytest.mark.parametrize("largest", [linkage.GROUP_RULES, 3])
+def test_large_groups_reach_the_optimum_with_production_parameters(spark, largest):
+    rng = random.Random(2)
+    values, rules = [(1, 1, 6.0, 1.0)] + [(1, k, 0.0, 0.25) for k in range(2, 7)], [(1, 1, k, "same", 0.8) for k in range(2, 7)]
+    for g in range(2, 4 if largest == 3 else 40):
+        ids = [100 * g + k for k in range(rng.randint(2, 9))]
+        values += [(g, k, rng.choice([0.0, 3.0, 6.0, 13.0]), rng.choice([0.25, 1.0, 4.0])) for k in ids]
+        rules += [(g, i, j, *rng.choice([("same", 0.8), ("same", 0.6), ("other", 0.1), ("other", 0.4)])) for i, j in itertools.combinations(ids, 2)]
+    v = spark.createDataFrame(values, "v long, var long, t double, z double")
+    r = spark.createDataFrame(rules, "v long, i long, j long, kind string, p double")
+    got = {x.var: x.y for x in linkage.solve_groups(v, r, 4.0, largest).collect()}
+    assert got.keys() == {x[1] for x in values} and got[1] > 0.68 and min(got[k] for k in range(2, 7)) > linkage.MATCH
+    assert slopes([x[1:] for x in values], [x[1:] for x in rules], got) < 1e-3
+    assert linkage.solve_groups(v.limit(0), r.limit(0), 4.0).count() == 0
+
+
 def test_tokens():
     t = tokens.tokenizer(tokens.VOCABULARY)
     for s in ["a  b", "\r\n\r\n y", "çş\u001fğ  ü", "", " ", "a" * 5000, "\n\n\n", "x \n\n  y", "don't  's", "  x"]:
