@@ -175,8 +175,15 @@ def pairs_of_links(links: DataFrame, member: DataFrame) -> DataFrame:
     return p.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def word_orders(words: Column) -> Column:
+    """The words joined in other orders: every order of up to three words, beyond that those that turn or reverse the whole."""
+    turned = lambda w: F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.concat(F.array_join(F.slice(w, i, F.size(w)), ""), F.array_join(F.slice(w, F.lit(1), i - 1), "")))
+    return F.array_distinct(F.concat(turned(words), turned(F.reverse(words))))
+
+
 def company_parts(companies: DataFrame) -> DataFrame:
-    """(id, company) to (id, core, sector): the words that are neither legal form nor line of business, joined; sector null if none."""
+    """(id, company) to (id, core, sector, orders): the words that are neither legal form nor line of business, joined as typed and in
+    other orders; sector null if none."""
     y = F.col("y")
     t = companies.where(present(F.col("company"))).withColumn("y", F.regexp_replace(fold(F.col("company")), r"\([^)]*\)?", " "))
     t = t.withColumn("y", F.trim(F.regexp_replace(y, "[^a-z0-9]+", " ")))
@@ -188,8 +195,8 @@ def company_parts(companies: DataFrame) -> DataFrame:
     sector_of = lambda w: F.coalesce(F.try_element_at(short, w), F.when(F.length(w) >= 3, known(w)))
     t = t.withColumn("ws", F.transform(F.filter(F.split(y, " +"), lambda w: w != ""), lambda w: F.struct(w.alias("w"), sector_of(w).alias("s"))))
     first = F.get(F.filter("ws", lambda x: x["s"].isNotNull()), F.lit(0))
-    t = t.withColumn("sector", first["s"]).withColumn("core", F.array_join(F.transform(F.filter("ws", lambda x: x["s"].isNull()), lambda x: x["w"]), ""))
-    return t.where(F.length("core") > 2).select("id", "core", "sector")
+    t = t.withColumn("sector", first["s"]).withColumn("ws", F.transform(F.filter("ws", lambda x: x["s"].isNull()), lambda x: x["w"])).withColumn("core", F.array_join("ws", ""))
+    return t.where(F.length("core") > 2).select("id", "core", "sector", word_orders(F.col("ws")).alias("orders"))
 
 
 def same_core(cores: DataFrame, rounds: int = 2) -> DataFrame:
@@ -218,19 +225,21 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def same_organisations(spellings: DataFrame) -> DataFrame:
-    """(core, sector) distinct to (core, sector, root): the spellings of one organisation get one root.
+    """(core, sector) distinct, with or without orders, to (core, sector, root): the spellings of one organisation get one root.
 
-    Cores meet under a form less as many characters as reach() allows edits, are verified by their edit distance, and link within
-    one line of business. Spellings without one link among themselves; together they belong to the organisation nearest to them,
-    if there is only one at that distance.
+    Cores, in any of the orders of one of both, meet under a form less as many characters as reach() allows edits, are verified by
+    their edit distance, and link within one line of business. Spellings without one link among themselves; together they belong to
+    the organisation nearest to them, if there is only one at that distance.
     """
-    s = cut(spellings.withColumn("node", F.xxhash64("core", F.coalesce("sector", F.lit("")))))
-    forms = s.withColumn("form", F.explode(reach_forms(F.col("core")))).where((F.length("form") > 3) | (F.col("form") == F.col("core")))
-    forms = forms.select("node", "core", "sector", F.xxhash64("form").alias("form"))
-    a, b = forms.select("form", *[F.col(c).alias(f"{c}_x") for c in ("node", "core", "sector")]), forms.select("form", *[F.col(c).alias(f"{c}_y") for c in ("node", "core", "sector")])
-    met = a.join(b, "form").where("sector_x = sector_y AND node_x < node_y OR sector_x IS NULL AND (sector_y IS NOT NULL OR node_x < node_y)")
-    met = met.drop("form").distinct().withColumn("n", edit_count("core_x", "core_y")).where("n < 3")
-    met = cut(met.select(F.col("node_x").alias("x"), F.col("node_y").alias("y"), "n", (F.col("sector_x").isNull() & F.col("sector_y").isNotNull()).alias("bare")))
+    orders = F.array_union(F.array("core"), "orders") if "orders" in spellings.columns else F.array("core")
+    s = cut(spellings.select("core", "sector", orders.alias("orders"), F.xxhash64("core", F.coalesce("sector", F.lit(""))).alias("node")))
+    form = lambda t: t.withColumn("form", F.explode(reach_forms(F.col("word")))).where((F.length("form") > 3) | (F.col("form") == F.col("word"))).withColumn("form", F.xxhash64("form"))
+    a = form(s.select("node", "core", F.explode("orders").alias("word"), "sector")).select("form", F.col("node").alias("x"), "core", F.col("word").alias("word_x"), F.col("sector").alias("sector_x"))
+    b = form(s.select("node", F.col("core").alias("word"), "sector")).select("form", F.col("node").alias("y"), F.col("word").alias("word_y"), F.col("sector").alias("sector_y"))
+    met = a.join(b, "form").where("coalesce(sector_x = sector_y, true) AND (x < y OR x <> y AND word_x <> core)").drop("form", "core").distinct()
+    met = met.withColumn("n", edit_count("word_x", "word_y")).where("n < 3")
+    swap, bare = F.expr("sector_x IS NOT NULL AND sector_y IS NULL"), F.expr("(sector_x IS NULL) <> (sector_y IS NULL)")
+    met = cut(met.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("y"), "n", bare.alias("bare")))
     roots = components(s.select("node"), met.where("NOT bare"))
     x, y = roots.select(F.col("node").alias("x"), "root"), roots.select(F.col("node").alias("y"), F.col("root").alias("home"))
     at = met.where("bare").join(x, "x").join(y, "y").groupBy("root", "home").agg(F.min("n").alias("n"))
@@ -242,11 +251,12 @@ def same_organisations(spellings: DataFrame) -> DataFrame:
 def same_company_names(companies: DataFrame) -> DataFrame:
     """(id, company) to pairs (a, b), a < b, of ids whose companies are one organisation.
 
-    An organisation is its core name, whatever slips, order, spacing or legal form, within one line of business. A value without a
-    line of business belongs to the organisation of that core if there is only one.
+    An organisation is its core name, whatever slips, order (see word_orders), spacing or legal form, within one line of business.
+    A value without a line of business belongs to the organisation of that core if there is only one. Initials of words find no
+    partner.
     """
     p = cut(company_parts(companies).dropDuplicates(["id"]))
-    roots = same_organisations(p.select("core", "sector").distinct()).select(F.col("core").alias("c"), F.col("sector").alias("s"), F.col("root").alias("cls"))
+    roots = same_organisations(p.groupBy("core", "sector").agg(F.array_distinct(F.flatten(F.collect_set("orders"))).alias("orders"))).select(F.col("core").alias("c"), F.col("sector").alias("s"), F.col("root").alias("cls"))
     p = p.join(roots, (F.col("core") == F.col("c")) & F.col("sector").eqNullSafe(F.col("s"))).select("id", "cls")
     return pairs_of_links(p.select(F.col("cls").alias("ca"), F.col("cls").alias("cb")).distinct(), p)
 

@@ -104,6 +104,14 @@ def test_a_chain_of_slips_is_one_organisation(spark):
     assert len(got) == 6 and len({r.root for r in got}) == 1
 
 
+def test_companies_in_any_order_of_words(spark):
+    rows = [("a", "Nutule Yoğim Gıda"), ("b", "Yoğim Nutule Gıda Ltd."), ("c", "YogimNutuel"), ("d", "Yoğim Nutule Kimya"), ("e", "Zofu Kadige Lomura Turizm"), ("f", "Lomura Kadgie Zofu Turizm")]
+    got = {tuple(x) for x in names.same_company_names(spark.createDataFrame(rows[:2] + rows[3:], "id string, company string")).collect()}
+    assert got == {("a", "b"), ("e", "f")}
+    got = {tuple(x) for x in names.same_company_names(spark.createDataFrame(rows[:3], "id string, company string")).collect()}
+    assert got == {("a", "b"), ("a", "c"), ("b", "c")}
+
+
 def test_alternating_directions_reach_the_optimum(spark):
     v = spark.createDataFrame([(1, 3.0, 1.0), (2, 0.0, 1.0), (3, 2.0, 1.0)], "var long, t double, z double")
     r = spark.createDataFrame([(1, 2, "same", 1.0), (1, 3, "other", 0.0)], "i long, j long, kind string, p double")
