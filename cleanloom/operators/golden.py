@@ -6,11 +6,16 @@ which rows are made. The same seed gives the same data; bits of other generators
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
+from itertools import combinations
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cleanloom.functions.session import cut
 from cleanloom.functions.text import title
 from cleanloom.plans.config import CANONICAL_FIELDS, CITY_DISTRICTS
 
@@ -185,15 +190,26 @@ def likeness(a: str, b: str) -> Column:
 
 
 def hard_negatives(people: DataFrame, count: int, least: float = 0.25) -> DataFrame:
-    """Pairs of different people who look alike: neighbours by hash within a city and company, the most alike first.
+    """The ``count`` pairs of different people who look most alike, of all pairs of at least that likeness; an error if there are fewer.
 
-    Each person meets only the next one of its city and surname, in order of the hash, so a crowded city stays linear.
+    People meet under every set of fields that makes a pair likely enough, and a pair counts under the set of all its equal fields. Of
+    those who share a set no more are paired than give ``count`` pairs, which are then as much alike as any left out, so it stays linear.
     """
-    order = Window.partitionBy("city", "last_name").orderBy(F.xxhash64("person_id"), "person_id")
-    t = people.select("*", F.lead(F.struct("person_id", *CANONICAL_FIELDS)).over(order).alias("b")).where("b IS NOT NULL")
-    t = t.select(F.struct("person_id", *CANONICAL_FIELDS).alias("a"), "b").withColumn("likeness", likeness("a", "b")).where(F.col("likeness") >= least)
-    top = t.orderBy(F.col("likeness").desc(), "a.person_id").limit(count)
-    return top.select(F.col("a.person_id").alias("person_id_a"), F.col("b.person_id").alias("person_id_b"), "likeness", F.lit("hard_negative").alias("pair_type"))
+    fields = {f: (F.col(f), w) for f, w in LIKENESS.items()} | {"first_letters": (F.substring("first_name", 1, 2), FIRST_LETTERS)}
+    sets = [c for n in range(1, len(fields) + 1) for c in combinations(fields, n) if round(sum(fields[f][1] for f in c), 2) >= least]
+    t = people.select("person_id", "first_name", *LIKENESS).dropDuplicates(["person_id"])
+    key = lambda k, c: F.when(reduce(and_, (fields[f][0].isNotNull() for f in c)), F.struct(F.lit(k).alias("k"), F.to_json(F.array(*(fields[f][0] for f in c))).alias("values")))
+    t = t.withColumn("key", F.explode(F.array_compact(F.array(*(key(k, c) for k, c in enumerate(sets))))))
+    order = Window.partitionBy("key").orderBy(F.xxhash64("person_id"), "person_id")
+    t = t.withColumn("r", F.row_number().over(order)).where(F.col("r") <= math.isqrt(2 * count) + 2)
+    same = lambda f: F.substring("a.first_name", 1, 2) == F.substring("b.first_name", 1, 2) if f == "first_letters" else F.col(f"a.{f}") == F.col(f"b.{f}")
+    whole = [reduce(and_, (F.coalesce(same(f), F.lit(False)) == F.lit(f in c) for f in fields)) & (F.col("a.key.k") == k) for k, c in enumerate(sets)]
+    j = t.alias("a").join(t.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.r") < F.col("b.r"))).where(reduce(or_, whole))
+    j = j.select(F.least("a.person_id", "b.person_id").alias("person_id_a"), F.greatest("a.person_id", "b.person_id").alias("person_id_b"), likeness("a", "b").alias("likeness"))
+    top = cut(j.orderBy(F.col("likeness").desc(), F.xxhash64("person_id_a", "person_id_b"), "person_id_a", "person_id_b").limit(count))
+    if (n := top.count()) < count:
+        raise ValueError(f"not enough pairs for hard negatives: {n} < {count}")
+    return top.withColumn("pair_type", F.lit("hard_negative"))
 
 
 def person_splits(people: DataFrame, seed: int = 99, shares: tuple[float, float, float] = (0.70, 0.15, 0.15), index: str = "person_index") -> DataFrame:

@@ -1,3 +1,4 @@
+import itertools
 import json
 import zipfile
 
@@ -148,6 +149,21 @@ def test_golden(spark):
     assert checks.pair_checks(golden.hard_negatives(p, 20)).count() == 0
 
 
+@pytest.mark.parametrize("count", [5, 60, 400])
+def test_hard_negatives_are_the_most_alike(spark, count):
+    p = golden.clean_people(spark, 150)
+    like = lambda a, b: round(sum(w for f, w in golden.LIKENESS.items() if a[f] == b[f]) + golden.FIRST_LETTERS * (a.first_name[:2] == b.first_name[:2]), 2)
+    best = {frozenset((a.person_id, b.person_id)): like(a, b) for a, b in itertools.combinations(p.collect(), 2)}
+    got = {frozenset((r.person_id_a, r.person_id_b)): r.likeness for r in golden.hard_negatives(p, count).collect()}
+    assert len(got) == count and all(best[k] == v for k, v in got.items())
+    assert sorted(got.values()) == sorted(best.values())[-count:]
+
+
+def test_too_few_hard_negatives_are_an_error(spark):
+    with pytest.raises(ValueError):
+        golden.hard_negatives(golden.clean_people(spark, 3), 200)
+
+
 def test_checks_and_gates(spark):
     s = spark.createDataFrame([("A-1",), ("A-1",), (None,), ("A-2",)], "source_record_id string")
     m = spark.createDataFrame([("A-1", "P-000001")], "source_record_id string, person_id string")
