@@ -7,6 +7,7 @@ import gc
 import os
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,24 +38,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a local one only where the session names none, as in tests."""
+    """The folder that the cluster shares; a local one only where the session names none and runs on this machine alone, as in tests."""
     have = spark.conf.get("spark.checkpoint.dir", None)
     if have is None:
         have = spark.sparkContext.getCheckpointDir()
     if have is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         have = tempfile.mkdtemp(prefix="cleanloom-checkpoint-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(have)
     return have
 
 
+#: Seconds that lie between two collections of garbage at least.
+TIDY_EVERY = 30.0
+_tidied = 0.0
+
+
 def tidy(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver collects garbage."""
+    global _tidied
+    if time.monotonic() - _tidied < TIDY_EVERY:
+        return
+    _tidied = time.monotonic()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-_WRITTEN: list[str] = []
+_WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -68,37 +80,50 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     if not _WRITTEN:
         atexit.register(_drop_written)
-    _WRITTEN.append(path)
+    _WRITTEN.append((spark, path))
     tidy(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of a lookup table up to which it is sent to every executor; beyond that the join shuffles.
-LOOKUP_ROWS = 200_000
+#: Bytes of a lookup table, as text, up to which it is sent to every executor; beyond that the join shuffles.
+LOOKUP_BYTES = 32 * 2**20
+#: Bytes that a row of it takes besides its text.
+ROW_BYTES = 64
+
 
+def lookup(df: DataFrame, most: int = LOOKUP_BYTES, written: bool = False) -> DataFrame:
+    """Written (unless it is already) and measured: marked for broadcast only if its bytes are few, else left to a shuffling join."""
+    c = df if written else cut(df)
+    size = c.select(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*"))) + ROW_BYTES), F.lit(0))).first()[0]
+    return F.broadcast(c) if size <= most else c
 
-def lookup(df: DataFrame, most: int = LOOKUP_ROWS) -> DataFrame:
-    """Written and counted: marked for broadcast only if it has few rows, else left to a shuffling join."""
-    c = cut(df)
-    return F.broadcast(c) if c.count() <= most else c
+
+def is_broadcast(df: DataFrame) -> bool:
+    """Whether lookup() found the table small enough."""
+    return df._jdf.queryExecution().logical().nodeName() == "ResolvedHint"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def drop(df: DataFrame) -> None:
     """Deletes the table behind what cut() gave, once nothing will read it again."""
-    spark = df.sparkSession
     for f in df.inputFiles():
         parent = f.rsplit("/", 1)[0]
         if "/cleanloom-" in parent:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(parent)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(df.sparkSession, parent)
             return
 
 
 def _drop_written() -> None:
-    for path in _WRITTEN:
-        local = path.removeprefix("file://").removeprefix("file:")
-        if os.path.isdir(local):
-            shutil.rmtree(local, ignore_errors=True)
+    """Deletes all cut tables, on whatever file system they lie; of a session that has ended only local ones can still be reached."""
+    for spark, path in _WRITTEN:
+        try:
+            _delete(spark, path)
+        except Exception:
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
 def ship(spark: SparkSession) -> None:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cleanloom.functions.session import cut, table
+from cleanloom.functions.session import table
 from cleanloom.operators import feeds
 from cleanloom.operators.quality import quality_summary
 from cleanloom.plans import record_queries
@@ -20,16 +20,16 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return quality_summary(contacts(spark, d))
 
 
-def _parsed(spark: SparkSession, d: str) -> DataFrame:
-    return feeds.parsed_lines(table(spark, d, "feed_lines"), table(spark, d, "feed_files"), table(spark, d, "header_labels"))
+def _files(spark: SparkSession, d: str, words: bool = True) -> DataFrame:
+    return feeds.file_table(table(spark, d, "feed_lines"), table(spark, d, "feed_files"), table(spark, d, "header_labels"), words)
 
 
 def p2_rejected(spark: SparkSession, d: str) -> DataFrame:
-    return feeds.rejected_rows(_parsed(spark, d))
+    return feeds.rejected_rows(feeds.parsed_lines(table(spark, d, "feed_lines"), _files(spark, d, False)))
 
 
 def p2_loaded(spark: SparkSession, d: str) -> DataFrame:
-    return feeds.loaded_rows(_parsed(spark, d))
+    return feeds.loaded_rows(feeds.parsed_lines(table(spark, d, "feed_lines"), _files(spark, d)))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -37,12 +37,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_changes(spark: SparkSession, d: str) -> DataFrame:
-    return feeds.schema_changes(feeds.file_schemas(table(spark, d, "feed_files"), _parsed(spark, d)))
+    files = _files(spark, d)
+    return feeds.schema_changes(feeds.file_schemas(files, feeds.parsed_lines(table(spark, d, "feed_lines"), files)))
 
 
 def p5_table(spark: SparkSession, d: str) -> DataFrame:
-    parsed = cut(_parsed(spark, d))
-    return feeds.unified_table(parsed, feeds.unified_types(feeds.file_schemas(table(spark, d, "feed_files"), parsed)))
+    files = _files(spark, d)
+    parsed = feeds.parsed_lines(table(spark, d, "feed_lines"), files)
+    return feeds.unified_table(parsed, feeds.unified_types(feeds.file_schemas(files, parsed)))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
