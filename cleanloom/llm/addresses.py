@@ -2,92 +2,94 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cleanloom.functions.session import cut, lookup
-from cleanloom.functions.text import fold
+from cleanloom.functions.text import fold_py
 from cleanloom.llm.places import matchers, reference_entries, words
 from cleanloom.llm.strings import corrections
 
 # Words that mark a part of a Turkish address, folded.
-STREET = "sokagi|sokak|sok|sk|caddesi|cadde|cad|cd|bulvari|bulvar|bulv|blv"
-QUARTER = "mahallesi|mahalle|mah|mh"
-HOUSE = "apartmani|apartman|apt|ap"
-NUMBER = "numara|no|n"
-INSIDE = "kat|k|daire|d"
-
-
-def parse_addresses(t: DataFrame, column: str, places: list[str]) -> DataFrame:
-    """Adds number, street, quarter and postcode; number and street are null where the address names no building.
-
-    number is the house number with its letter (``7b``); floor, flat and postcode are taken out first. street is the word before
-    a street word, else the first word that belongs to no other part and is none of ``places``. Each step is a column of its own,
-    so that no pattern is evaluated twice.
+STREET = ("sokagi", "sokak", "sok", "sk", "caddesi", "cadde", "cad", "cd", "bulvari", "bulvar", "bulv", "blv")
+QUARTER = ("mahallesi", "mahalle", "mah", "mh")
+HOUSE = ("apartmani", "apartman", "apt", "ap")
+NUMBER = ("numara", "no", "n")
+INSIDE = ("kat", "k", "daire", "d")
+MARKERS = frozenset(STREET + QUARTER + HOUSE + NUMBER + INSIDE)
+
+#: Rarity, in natural logarithms of rows for each row with the word, that common words must reach together: one word of a quarter
+#: has it, the name of a house that stands in every town has not.
+ENOUGH = 4.0
+#: A street may be taken for a slip of another one only if it is so many times rarer.
+DOMINANCE = 4
+
+_CLEAN = re.compile(r"[^a-z0-9/#-]+")
+_CODE = re.compile(r"\b\d{5}\b")
+_INSIDE = re.compile(rf"\b(?:{'|'.join(INSIDE)}) ?\d+\b")
+_MARKED = re.compile(rf"(?:\b(?:{'|'.join(NUMBER)})|#) ?(\d+)(?: ?[/-]? ?([a-z]))?\b")
+_BARE = re.compile(r"\b(\d+)(?: ?[/-]? ?([a-z]))?\b")
+_TOKEN = re.compile(r"[a-z]+|[^a-z ]+")
+
+
+def address_parts(address: str, places: frozenset[str]) -> tuple[str, str | None, str | None, str, str, str | None] | None:
+    """(number, street, quarter, house, others, postcode) of a folded address, None if it has no number.
+
+    number is the house number with its letter (``7b``), whatever its length; floor and flat are taken out first, and an unmarked number
+    of five digits is the postcode. street, quarter and house are the words before their marks. others are the remaining words
+    that are none of ``places``, with a + before those that stand in front of the name of a house.
     """
-    marked = rf"(?:\b(?:{NUMBER})|#) ?(\d{{1,4}})(?: ?[/-]? ?([a-z]))?\b"
-    bare = r"\b(\d{1,4})(?: ?[/-]? ?([a-z]))?\b"
-    quarter, house, street = rf"\b([a-z]+) (?:{QUARTER})\b", rf"\b(?:pembe )?[a-z]+ (?:{HOUSE})\b", rf"\b([a-z]+) (?:{STREET})\b"
-    y = F.col("_y")
-    t = t.withColumn("_y", F.trim(F.regexp_replace(fold(F.col(column)), r"[^a-z0-9/#-]+", " ")))
-    t = t.withColumn("postcode", F.nullif(F.regexp_extract(y, r"\b(\d{5})\b", 1), F.lit("")))
-    t = t.withColumn("_y", F.trim(F.regexp_replace(y, rf"\b\d{{5,}}\b|\b(?:{INSIDE}) ?\d+\b", " ")))
-    t = t.withColumn("_y", F.regexp_replace(y, " +", " "))
-    t = t.withColumn("_m", F.regexp_replace(y, marked, " | $1 $2| "))
-    t = t.withColumn("_p", F.when(F.col("_m") != y, F.col("_m")).otherwise(F.regexp_replace(y, bare, " | $1 $2| "))).drop("_m")
-    t = t.withColumn("_n", F.regexp_extract(F.col("_p"), r"\| (\d+ [a-z]?)\|", 1))
-    t = t.withColumn("number", F.nullif(F.replace(F.col("_n"), F.lit(" "), F.lit("")), F.lit("")))
-    t = t.withColumn("_y", F.regexp_replace(F.regexp_replace(F.col("_p"), r"\| \d+ [a-z]?\||[/-]+", " | "), " +", " "))
-    t = t.withColumn("quarter", F.nullif(F.regexp_extract(y, quarter, 1), F.lit("")))
-    t = t.withColumn("_y", F.regexp_replace(y, f"{quarter}|{house}", " | "))
-    t = t.withColumn("_s", F.nullif(F.regexp_extract(y, street, 1), F.lit("")))
-    known = rf"^(?:[a-z]|{STREET}|{QUARTER}|{HOUSE}|{NUMBER}|{INSIDE}|{'|'.join(places)})$"
-    other = F.get(F.filter(F.regexp_extract_all(y, F.lit(r"\b([a-z]+)\b"), F.lit(1)), lambda w: ~w.rlike(known)), F.lit(0))
-    return t.withColumn("street", F.coalesce("_s", F.when(F.col("_s").isNull(), other))).drop("_y", "_p", "_n", "_s")
+    y = _CLEAN.sub(" ", address)
+    code = _CODE.search(y)
+    y = _INSIDE.sub(" ", y)
+    m = _MARKED.search(y) or _BARE.search(y := _CODE.sub(" ", y))
+    if not m:
+        return None
+    tokens = _TOKEN.findall(f"{y[: m.start()]} | {y[m.end() :]}")
+    free = [t.isalpha() and t not in MARKERS for t in tokens]
+    found: dict[str, str] = {}
+    run: set[int] = set()
+    for i, t in enumerate(tokens):
+        if i and free[i - 1] and t in MARKERS:
+            part = "quarter" if t in QUARTER else "house" if t in HOUSE else "street" if t in STREET else ""
+            if part and part not in found:
+                found[part] = tokens[i - 1]
+            if part:
+                free[i - 1] = False
+            if part == "house" and i > 1 and free[i - 2]:
+                run.add(i - 2)
+    pair = lambda i: i + 1 < len(tokens) and f"{tokens[i]} {tokens[i + 1]}" in places or i and f"{tokens[i - 1]} {tokens[i]}" in places
+    others = [("+" if i in run else "") + t for i, t in enumerate(tokens) if free[i] and len(t) > 1 and t not in places and not pair(i)]
+    return m[1] + (m[2] or ""), found.get("street"), found.get("quarter"), found.get("house", ""), " ".join(others), code and code[0]
+
+
+PARTS = ("number", "street", "quarter", "house", "others", "postcode", "city_id")
 
 
 def read_addresses(records: DataFrame, reference: DataFrame, aliases: DataFrame, columns: tuple[str, str, str] = ("address", "city", "district")) -> DataFrame:
-    """The records with number, street, quarter, postcode and city_id of their address, null where it names no building; no shuffle."""
+    """The records with the parts of their address (address_parts) and the city it lies in; null where it names no building; no shuffle."""
     entries = reference_entries(reference, aliases)
-    places = sorted({words(n) for v in entries.values() for _, n, _ in v} - {""})
     t = records.withColumns({f"_in_{k}": F.col(c).cast("string") for k, c in zip("acd", columns)})
     usable = F.col("_in_a").rlike(r"\p{Nd}") & F.col("_in_a").rlike(r"\p{L}{2}")
-    t = parse_addresses(t.withColumn("_in_a", F.when(usable, F.col("_in_a"))), "_in_a", places)
-    return t.withColumn("city_id", F.nullif(home_udf(entries)("_in_c", "_in_d", "_in_a"), F.lit(0))).drop("_in_a", "_in_c", "_in_d")
-
-
-def settle_addresses(t: DataFrame) -> DataFrame:
-    """Streets corrected against the spellings of all rows (see corrections()), and cities that only a postcode tells: that of most rows with it."""
-    codes = t.where("postcode IS NOT NULL AND city_id IS NOT NULL").groupBy("postcode", "city_id").count()
-    codes = codes.groupBy("postcode").agg(F.max_by("city_id", F.struct("count", "city_id")).alias("code_city"))
-    fixes = corrections(t.where("street IS NOT NULL").groupBy(F.col("street").alias("token")).agg(F.count("*").alias("n")))
-    t = t.join(lookup(fixes.select(F.col("token").alias("street"), "fixed")), "street", "left").withColumn("street", F.coalesce("fixed", "street")).drop("fixed")
-    # at most 100 000 codes of five digits exist, whatever the number of rows
-    return t.join(F.broadcast(codes), "postcode", "left").withColumn("city_id", F.coalesce("city_id", "code_city")).drop("code_city")
+    t = t.withColumn("_p", parts_udf(entries)("_in_c", "_in_d", F.when(usable, F.col("_in_a"))))
+    return t.select(*records.columns, *(F.col(f"_p.{c}").alias(c) for c in PARTS))
 
 
-def address_keys(records: DataFrame, reference: DataFrame, aliases: DataFrame, id_col: str = "source_record_id", columns: tuple[str, str, str] = ("address", "city", "district")) -> DataFrame:
-    """(id, number, street, quarter, city_id): one row per id with a usable address; city_id null where nothing tells it.
+def parts_udf(entries: dict[str, list[tuple[int, str, int | None]]]) -> Callable[[Column, Column, Column], Column]:
+    """(city, district, address) to the parts of the address and the city: of the city value, else the last one named in the address,
+    else that of a district of one city; each distinct text is read once in a while, not once a row."""
 
-    The city comes from the city value, else from the end of the address, the district or the postcode.
-    """
-    t = read_addresses(records.select(F.col(id_col).alias("id"), *columns), reference, aliases, columns)
-    # the filter stands after the aggregation: below it, it would be evaluated with all the patterns once more
-    t = t.select("id", "number", "street", "quarter", "postcode", "city_id").dropDuplicates(["id"]).where("number IS NOT NULL AND street IS NOT NULL")
-    return settle_addresses(cut(t)).select("id", "number", "street", "quarter", "city_id")
-
-
-def home_udf(entries: dict[str, list[tuple[int, str, int | None]]]) -> Callable[[Column, Column, Column], Column]:
-    """(city, district, address) to the city: of the city value, else named in the address, else of a district of one city; 0 for none."""
-
-    @F.pandas_udf(T.IntegerType())
-    def run(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.pandas_udf("number string, street string, quarter string, house string, others string, postcode string, city_id int")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         m = matchers(entries)
         city, district = m["city"], m["district"]
+        places = frozenset(city.ids) | frozenset(district.ids)
+        read = lru_cache(20_000)(lambda a: address_parts(a, places))
 
         def of_district(keys: Iterable[str]) -> int:
             for k in keys:
@@ -96,48 +98,117 @@ def home_udf(entries: dict[str, list[tuple[int, str, int | None]]]) -> Callable[
                     return homes.pop()
             return 0
 
-        def home(c: str | None, d: str | None, a: str | None) -> int:
-            if a is None:
-                return 0
+        def home(c: str | None, d: str | None, a: str) -> int | None:
             at = city.resolve(c)
             if at:
                 return at
             text = words(a)
             last = city.mentions(text)[-1:]
-            return city.ids[last[0]][0] if last else (d is not None and of_district(district.names(d))) or of_district(reversed(district.mentions(text)))
-
-        for c, d, a in parts:
-            yield pd.Series([home(*x) for x in zip(c, d, a)], dtype="int32")
+            return (city.ids[last[0]][0] if last else (d is not None and of_district(district.names(d))) or of_district(reversed(district.mentions(text)))) or None
+
+        none = (None,) * len(PARTS)
+        for cs, ds, aa in parts:
+            rows = []
+            for c, d, a in zip(cs, ds, aa):
+                p = read(fold_py(a)) if a is not None else None
+                rows.append(none if p is None else (*p, home(c, d, a)))
+            out = pd.DataFrame(rows, columns=list(PARTS), dtype=object)
+            out["city_id"] = out["city_id"].astype("Int32")
+            yield out
 
     return run
 
 
-def same_buildings(records: DataFrame, reference: DataFrame, aliases: DataFrame, id_col: str = "source_record_id") -> DataFrame:
-    """Pairs of records whose addresses denote one building: (source_record_id_a, source_record_id_b), a < b.
-
-    Numbers first: the block is the house number (digits with their letter) plus the street as the one rare word, within the city
-    where it is known. Equal city, street and number denote one building whatever floor or quarter stands beside them. Rows
-    without any city are compared within number and street by the words left over: the overlap weighs each common word by its
-    rarity, unmatched quarters may differ by two edits, and the row joins a building only if exactly one city is accepted.
-    Null, blank and placeholder addresses give nothing; repeated ids count once; extra columns are ignored; an empty table gives
-    no pairs. The pairs of a building are the result itself; no other rows are paired.
+def settle_addresses(t: DataFrame) -> DataFrame:
+    """Addresses without a mark of a street get one, streets are corrected, and cities that only a postcode tells are filled in.
+
+    A street without a mark is the first of the other words, but for one that mostly stands before the name of the house over all rows. Streets are
+    corrected against the spellings of all rows (see corrections()). The city of a postcode is that of most rows with it. t is
+    read several times, so it should be written.
     """
-    k = address_keys(records, reference, aliases, id_col)
+    named = t.where("contains(others, '+')").select("house", F.explode(F.split("others", " ")).alias("w")).where("startswith(w, '+')").groupBy("house", F.expr("substring(w, 2)").alias("word")).agg(F.count("*").alias("n"))
+    houses = t.where("house <> ''").groupBy("house").agg(F.count("*").alias("m"))
+    house_words = named.join(houses, "house").where("2 * n > m").agg(F.collect_set("word").alias("house_words"))
+    t = t.crossJoin(lookup(house_words))  # one row: first words of the names of houses of two
+    bare = F.get(F.array_except(F.filter(F.split(F.replace("others", F.lit("+"), F.lit("")), " "), lambda w: w != ""), F.col("house_words")), F.lit(0))
+    t = t.withColumn("street", F.coalesce("street", F.when(F.col("street").isNull(), bare))).drop("house_words")
+    codes = t.where("postcode IS NOT NULL AND city_id IS NOT NULL").groupBy("postcode", "city_id").count()
+    codes = codes.groupBy("postcode").agg(F.max_by("city_id", F.struct("count", "city_id")).alias("code_city"))
+    fixes = corrections(t.where("street IS NOT NULL").groupBy(F.col("street").alias("token")).agg(F.count("*").alias("n")))
+    t = t.join(lookup(fixes.select(F.col("token").alias("street"), "fixed")), "street", "left").withColumn("street", F.coalesce("fixed", "street")).drop("fixed")
+    return t.join(lookup(codes), "postcode", "left").withColumn("city_id", F.coalesce("city_id", "code_city")).drop("code_city")
+
+
+def address_words(records: DataFrame, reference: DataFrame, aliases: DataFrame, id_col: str = "source_record_id", columns: tuple[str, str, str] = ("address", "city", "district")) -> DataFrame:
+    """(id, number, street, city_id, quarter, words): one row per id with a usable address.
+
+    The block of an address is its number tokens and its rare word, the street; words are the other ones (quarter, house and what
+    else stands there). city_id is null where nothing tells it.
+    """
+    t = read_addresses(records.select(F.col(id_col).cast("string").alias("id"), *columns).where("id IS NOT NULL"), reference, aliases, columns)
+    t = t.select("id", *PARTS).dropDuplicates(["id"]).where("number IS NOT NULL")
+    t = settle_addresses(cut(t)).where("street IS NOT NULL")
+    left = F.array_distinct(F.filter(F.concat(F.array("quarter", "house"), F.split(F.replace("others", F.lit("+"), F.lit("")), " ")), lambda w: (w != "") & (w != F.col("street"))))
+    return t.select("id", "number", "street", "city_id", "quarter", left.alias("words"))
+
+
+def slip_limit(a: Column, b: Column) -> Column:
+    """Edits up to which one word may be a slip of the other: none below four letters, one below seven, two from there."""
+    n = F.least(F.length(a), F.length(b))
+    return F.when(n < 4, 0).when(n < 7, 1).otherwise(2)
+
+
+def building_classes(records: DataFrame, reference: DataFrame, aliases: DataFrame, id_col: str = "source_record_id", columns: tuple[str, str, str] = ("address", "city", "district")) -> DataFrame:
+    """(id, building, records): the building that each usable address denotes, as text, and how many records denote it.
+
+    Numbers first: addresses meet in blocks of their number tokens and one rare word, the street, or else the quarter; within a
+    block, what stands in one city is compared as one, never record by record, so that a frequent building is one row. Of the words
+    left the common ones (array_intersect) count by their rarity over all rows, and words that find no equal one are compared by
+    Levenshtein distance:
+
+    * in one city, streets of one block (number and quarter) that differ by a slip are one street, if one is far rarer;
+    * an address without a city belongs to the building of its block with which its common words weigh ENOUGH or whose quarter
+      differs by a slip only, if exactly one city is accepted so; else it stands with those of the same quarter.
+
+    Null, blank and placeholder addresses give nothing; repeated ids count once; extra columns are ignored; an empty table gives an
+    empty result.
+    """
+    k = cut(address_words(records, reference, aliases, id_col, columns))
+    rarity = cut(k.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).crossJoin(F.broadcast(k.agg(F.count("*").alias("total")))).select("word", F.log(F.col("total") / F.col("n")).alias("weight")))  # total is one row
+    block = ["number", "street", "city_id"]
+    # the words of a building, each once, however many records it has
+    seen = cut(k.where("city_id IS NOT NULL").select(*block, F.explode_outer(F.concat(F.transform("words", lambda w: F.struct(w.alias("word"), (w == F.col("quarter")).alias("is_quarter"))))).alias("w")).groupBy(*block, "w").agg(F.count("*").alias("n")).select(*block, "w.*", "n"))
+    merged = street_slips(seen, k)
+    k = k.join(lookup(merged), block, "left").withColumn("street", F.coalesce("main", "street")).drop("main")
+    seen = seen.join(lookup(merged), block, "left").withColumn("street", F.coalesce("main", "street")).drop("main")
     known, lost = k.where("city_id IS NOT NULL"), k.where("city_id IS NULL AND quarter IS NOT NULL")
-    buildings = known.groupBy("number", "street", "city_id").agg(F.collect_set("quarter").alias("quarters"))
-    # a building has the quarters that its rows were typed with: a few spellings of one name
-    rarity = k.where("quarter IS NOT NULL").groupBy("quarter").agg(F.count("*").alias("n"))
-    total = k.agg(F.count("*").alias("total"))
-    close = F.exists("quarters", lambda q: F.levenshtein(q, F.col("quarter")) <= F.when(F.length("quarter") < 7, 1).otherwise(2))
-    found = lost.join(buildings.withColumnRenamed("city_id", "near_city"), ["number", "street"]).join(rarity, "quarter").crossJoin(F.broadcast(total))
-    weight = F.log(F.col("total") / F.col("n"))
-    exact = F.array_contains("quarters", F.col("quarter"))
-    found = found.where((exact & (weight > 0)) | close)
-    homes = found.groupBy("id").agg(F.min("near_city").alias("city_id"), F.count_distinct("near_city").alias("n")).where("n = 1")
-    placed = lost.drop("city_id").join(homes.select("id", "city_id"), "id", "left")
-    by_city = known.select("id", "number", "street", F.col("city_id").cast("string").alias("where")).unionByName(
-        placed.select("id", "number", "street", F.coalesce(F.col("city_id").cast("string"), F.concat(F.lit("q:"), F.col("quarter"))).alias("where"))
-    )
-    a = by_city.withColumnRenamed("id", f"{id_col}_a")
-    b = by_city.withColumnRenamed("id", f"{id_col}_b")
-    return a.join(b, ["number", "street", "where"]).where(F.col(f"{id_col}_a") < F.col(f"{id_col}_b")).select(f"{id_col}_a", f"{id_col}_b")
+    buildings = seen.groupBy(*block).agg(F.array_compact(F.collect_set("word")).alias("theirs"), F.collect_set(F.when(F.col("is_quarter"), F.col("word"))).alias("quarters"))
+    mine = cut(lost.groupBy("number", "street", "quarter", "words").agg(F.count("*").alias("n")).withColumn("mine", F.xxhash64("number", "street", "quarter", F.to_json("words"))))
+    met = mine.join(buildings.withColumnRenamed("city_id", "near_city"), ["number", "street"]).withColumn("common", F.array_intersect("words", "theirs"))
+    met = met.withColumn("slip", F.exists("quarters", lambda q: F.levenshtein(q, F.col("quarter")) <= slip_limit(q, F.col("quarter"))) & ~F.array_contains("common", F.col("quarter")))
+    weights = met.select("mine", "near_city", F.explode_outer("common").alias("word"), "slip").join(lookup(rarity), "word", "left")
+    met = weights.groupBy("mine", "near_city").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight"), F.max("slip").alias("slip")).where((F.col("weight") >= ENOUGH) | F.col("slip"))
+    homes = met.groupBy("mine").agg(F.min("near_city").alias("home"), F.count("*").alias("cities")).where("cities = 1")
+    homes = mine.join(homes, "mine").select("number", "street", "quarter", "words", "home")
+    placed = lost.drop("city_id").join(homes, ["number", "street", "quarter", "words"], "left")
+    where = F.coalesce(F.col("home").cast("string"), F.concat(F.lit("q:"), F.col("quarter")))
+    at = known.select("id", "number", "street", F.col("city_id").cast("string").alias("at")).unionByName(placed.select("id", "number", "street", where.alias("at")))
+    at = cut(at.select("id", F.concat_ws(" ", "street", "number", "at").alias("building")))
+    return at.join(at.groupBy("building").agg(F.count("*").alias("records")), "building").select(F.col("id").alias(id_col), "building", "records")
+
+
+def street_slips(seen: DataFrame, k: DataFrame) -> DataFrame:
+    """(number, street, city_id, main): streets that are slips of another one with the same number and quarter in the same city."""
+    n = k.groupBy("street").agg(F.count("*").alias("rows"))
+    q = seen.where("is_quarter").join(n, "street").select("number", "city_id", "word", "street", "rows")
+    far = q.select("number", "city_id", "word", F.col("street").alias("main"), F.col("rows").alias("main_rows"))
+    met = q.join(far, ["number", "city_id", "word"]).where((F.col("street") != F.col("main")) & (F.col("main_rows") >= DOMINANCE * F.col("rows")))
+    met = met.where(F.levenshtein("street", "main") <= slip_limit(F.col("street"), F.col("main")))
+    return met.groupBy("number", "street", "city_id").agg(F.max_by("main", F.struct("main_rows", "main")).alias("main"))
+
+
+def same_buildings(records: DataFrame, reference: DataFrame, aliases: DataFrame, id_col: str = "source_record_id") -> DataFrame:
+    """Pairs of records whose addresses denote one building (building_classes): (source_record_id_a, source_record_id_b), a < b."""
+    c = cut(building_classes(records, reference, aliases, id_col).where("records > 1").drop("records"))
+    a, b = c.withColumnRenamed(id_col, f"{id_col}_a"), c.withColumnRenamed(id_col, f"{id_col}_b")
+    return a.join(b, "building").where(F.col(f"{id_col}_a") < F.col(f"{id_col}_b")).select(f"{id_col}_a", f"{id_col}_b")

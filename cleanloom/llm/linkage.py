@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +38,9 @@ GROUP_RULES = 200_000
 
 
 def people_rows(records: DataFrame, columns: dict[str, str], side: str) -> DataFrame:
-    """One layout for both tables: id (64 bits of side and record id), side, first, last, email, phone, city, district, address."""
+    """One layout for both tables: rid (the record id), side, first, last, email, phone, city, district, address."""
     cols = [F.col(columns[c]).cast("string").alias(c) for c in ("first", "last", "email", "phone", "city", "district", "address")]
-    p = records.select(F.col(columns["id"]).cast("string").alias("rid"), *cols).where("rid IS NOT NULL").withColumn("side", F.lit(side))
-    return p.withColumn("id", F.xxhash64("side", "rid"))
+    return records.select(F.col(columns["id"]).cast("string").alias("rid"), *cols).where("rid IS NOT NULL").withColumn("side", F.lit(side))
 
 
 SOURCE = {"id": "source_record_id", "first": "first_name", "last": "last_name", "email": "email", "phone": "phone", "city": "city", "district": "district", "address": "address"}
@@ -49,45 +50,60 @@ PARTNER = {"id": "source_record_id", "first": "given_name", "last": "surname", "
 def signatures(people: DataFrame, reference: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(class table, membership): records that agree in every compared attribute are one class.
 
-    Everything that costs a shuffle is done only for records that can match: partner records, source records that share an e-mail,
-    phone or building with one, and source records that share one with those.
+    The address of a row is read in one pass and shuffles nothing. Everything that costs a shuffle is done only for records that can
+    match: partner records, source records that share a block (e-mail name, end of a phone, number and street) with one, and source
+    records that share one with those. A row gets its number as it is written, and a class the least number of its rows.
     """
-    t = people.select("id", "side", "rid", "first", "last", email_key(F.col("email")).alias("email"), phone_key(F.col("phone")).cast("long").alias("phone"), "address", "city", "district")
-    t = cut(read_addresses(t, reference, aliases).drop("address", "city", "district", "quarter").withColumn("email", F.when(F.col("email").isNotNull(), F.xxhash64("email"))))
-    home = F.when(F.col("number").isNotNull() & F.col("street").isNotNull() & F.col("city_id").isNotNull(), F.xxhash64("number", "street", "city_id"))
-    full = cut(settle_addresses(t).select("id", "side", "rid", "first", "last", "email", "phone", home.alias("home")))
-    key = full.select("id", "side", F.explode(F.filter(F.array("email", "phone", "home"), lambda k: k.isNotNull())).alias("key"))
+    t = people.select("side", "rid", "first", "last", email_key(F.col("email")).alias("email"), phone_key(F.col("phone")).alias("phone"), "address", "city", "district")
+    t = read_addresses(t, reference, aliases).drop("address", "city", "district", "quarter")
+    t = cut(t.where("email IS NOT NULL OR phone IS NOT NULL OR number IS NOT NULL").withColumn("id", F.monotonically_increasing_id()))
+    full = cut(settle_addresses(t).select("id", "side", "rid", "first", "last", "email", "phone", F.concat_ws(" ", "street", "number").alias("house"), F.when(F.col("street").isNotNull(), F.col("city_id")).alias("city_id"), F.col("street").isNotNull().alias("built")))
+    full = full.withColumn("house", F.when(F.col("built"), F.col("house"))).drop("built")
+    key = full.select("id", "side", F.explode(blocks()).alias("key"))
     mine, theirs = key.where("side = 'a'").select("id", "key"), key.where("side = 'b'").select("key")
     first = mine.join(theirs, "key", "left_semi").select("id")
     reached = mine.join(first, "id", "left_semi").select("key")
     second = mine.join(reached, "key", "left_semi").select("id")
-    part = full.where("side = 'a'").join(second, "id", "left_semi").unionByName(full.where("side = 'b' AND (email IS NOT NULL OR phone IS NOT NULL OR home IS NOT NULL)"))
-    part = cut(part)
+    part = cut(full.where("side = 'a'").join(second, "id", "left_semi").unionByName(full.where("side = 'b' AND (email IS NOT NULL OR phone IS NOT NULL OR house IS NOT NULL)")))
     names = name_parts(part.select("id", "first", "last"), full.select("id", "first", "last"), least=1)
-    attrs = ["side", "surname", "givens", "email", "phone", "home"]
-    t = part.drop("first", "last").dropDuplicates(["id"]).join(names, "id")
-    t = t.withColumn("cls", F.xxhash64("side", "surname", F.to_json("givens"), *[F.coalesce(a, F.lit(0)) for a in ("email", "phone", "home")]))
-    t = cut(t.select("cls", "rid", *attrs))
-    return t.select("cls", *attrs).dropDuplicates(["cls"]), t.select("cls", "side", "rid")
+    attrs = ["side", "surname", "givens", "email", "phone", "house", "city_id"]
+    t = cut(part.drop("first", "last").join(names, "id"))
+    c = cut(t.groupBy(*attrs).agg(F.min("id").alias("cls")))
+    same = reduce(and_, (F.col(f"t.{a}").eqNullSafe(F.col(f"c.{a}")) for a in ("email", "phone", "house", "city_id", "givens")))
+    member = t.alias("t").join(c.alias("c"), (F.col("t.side") == F.col("c.side")) & (F.col("t.surname") == F.col("c.surname")) & same).select("c.cls", "t.side", "t.rid")
+    return c, member
+
+
+def blocks() -> Column:
+    """The values under which records meet: partly equal ones suffice (an e-mail name at any domain, the last seven digits, a house in any city)."""
+    parts = (F.concat(F.lit("e"), F.substring_index("email", "@", 1)), F.concat(F.lit("p"), F.substring("phone", 4, 7)), F.concat(F.lit("h"), F.col("house")))
+    return F.array_compact(F.array(*parts))
 
 
 def candidates(c: DataFrame, forms: list[tuple[str, str]]) -> DataFrame:
-    """Pairs (u, v) of classes, u < v, that share an e-mail, phone or building and a surname or full given name, with agreements.
+    """Pairs (u, v) of classes, u < v, that share a block and a surname or full given name, with the agreement of their attributes.
 
     A block is one value with one name, so a value shared by many people (a switchboard, a mall) falls apart by name.
     """
-    name_keys = F.filter(F.concat(F.array(F.col("surname")), F.col("givens")), lambda g: F.length(g) > 2)
-    keys = F.filter(F.array("email", "phone", "home"), lambda k: k.isNotNull())
-    k = c.withColumn("name", F.explode(name_keys)).withColumn("key", F.explode(keys)).select("cls", "side", F.xxhash64("name", "key").alias("key"))
-    a, b = k.select("key", F.col("cls").alias("u"), F.col("side").alias("su")), k.select("key", F.col("cls").alias("v"), F.col("side").alias("sv"))
+    name_keys = F.filter(F.concat(F.array(F.col("surname")), F.col("givens")), lambda g: F.length(g) > 1)
+    k = c.withColumn("name", F.explode(name_keys)).withColumn("key", F.explode(blocks())).select("cls", F.xxhash64("name", "key").alias("key"))
+    a, b = k.select("key", F.col("cls").alias("u")), k.select("key", F.col("cls").alias("v"))
     pairs = a.join(b, "key").where("u < v").select("u", "v").distinct()
-    side = lambda s: c.select(*[F.col(x).alias(f"{x}_{s}") for x in ("side", "surname", "givens", "email", "phone", "home")], F.col("cls").alias(s))
+    side = lambda s: c.select(*[F.col(x).alias(f"{x}_{s}") for x in ("side", "surname", "givens", "email", "phone", "house", "city_id")], F.col("cls").alias(s))
     return agreements(pairs.join(side("u"), "u").join(side("v"), "v"), forms)
 
 
+#: Agreement of values of which only the part that makes a block is equal.
+PARTLY = 0.5
+
+
 def agreements(p: DataFrame, forms: list[tuple[str, str]]) -> DataFrame:
-    eq = lambda x: F.when(F.col(f"{x}_u").isNull() | F.col(f"{x}_v").isNull(), 0).when(F.col(f"{x}_u") == F.col(f"{x}_v"), 1).otherwise(-1)
-    p = p.withColumns({x: eq(x) for x in ("email", "phone", "home")})
+    """email, phone and home: 1 equal, PARTLY, -1 different, 0 unknown; family and given: how well the names agree."""
+    u, v = lambda x: F.col(f"{x}_u"), lambda x: F.col(f"{x}_v")
+    graded = lambda x, part: F.when(u(x).isNull() | v(x).isNull(), 0.0).when(u(x) == v(x), 1.0).when(part(u(x)) == part(v(x)), PARTLY).otherwise(-1.0)
+    city = F.coalesce(F.when(u("city_id") == v("city_id"), 1.0).when(u("city_id") != v("city_id"), -1.0), F.lit(PARTLY))
+    home = F.when(u("house").isNull() | v("house").isNull(), 0.0).when(u("house") == v("house"), city).otherwise(-1.0)
+    p = p.withColumn("email", graded("email", lambda x: F.substring_index(x, "@", 1))).withColumn("phone", graded("phone", lambda x: F.substring(x, 4, 7))).withColumn("home", home)
     p = p.withColumn("given", align_udf(forms)("givens_u", "givens_v"))
     missing = (F.col("surname_u") == "") | (F.col("surname_v") == "")
     near = F.when(missing, 0.5).when(F.col("surname_u") == F.col("surname_v"), 1.0).when(F.levenshtein("surname_u", "surname_v") <= 2, 0.9)
@@ -99,8 +115,8 @@ def unary() -> tuple[Column, Column]:
     """Sums of the weights that pull a candidate towards 1 and towards 0."""
     w = WEIGHTS
     name = F.col("given") * F.col("family")
-    pull = lambda x, k: F.when(F.col(x) == 1, w[k]).otherwise(0.0)
-    push = lambda x, k: F.when(F.col(x) == -1, w[k]).otherwise(0.0)
+    pull = lambda x, k: F.greatest(F.col(x), F.lit(0.0)) * w[k]
+    push = lambda x, k: F.when((F.col(x) < 1) & (F.col(x) != 0), w[k]).otherwise(0.0)
     toward = (pull("email", "email") + pull("phone", "phone") + pull("home", "home")) * F.when(name > 0, 1.0).otherwise(0.0)
     away = F.lit(w["prior"]) + push("email", "other_email") + push("phone", "other_phone") + w["doubt"] * (1 - F.when(name > 0, name).otherwise(-2.0))
     return toward, away
@@ -139,7 +155,7 @@ def match_people(
     # by transitivity a class reaches the partners of classes that are surely the same person
     reached = link.where("p >= 0.6").join(direct.where("t / (t + z) >= 0.6").select(F.col("u").alias("w"), "v"), "w").select("u", "v").distinct()
     x = reached.join(direct, ["u", "v"], "full").select("u", "v", F.coalesce("t", F.lit(0.0)).alias("t"), F.coalesce("z", F.lit(WEIGHTS["prior"] / 4)).alias("z"))
-    x = cut(x.withColumn("var", F.xxhash64("u", "v")))
+    x = cut(x.withColumn("var", F.monotonically_increasing_id()))
     # coupling rules of two values with one partner
     left, right = x.select("v", "u", F.col("var").alias("i")), x.select("v", F.col("u").alias("w"), F.col("var").alias("j"))
     tied = left.join(link, "u").join(right, ["v", "w"]).where("i < j")

@@ -73,7 +73,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id"
         raise ValueError(f"more than {MOST_SOURCES} sources")
     spark = documents.sparkSession
     plan = spark.createDataFrame([(r.source, float(r.share), int(r.cap)) for r in rows], "source string, share double, cap int")
-    sizes = t.where("n > 0").join(F.broadcast(plan.select("source")), "source").groupBy("source", "n").agg(F.count("*").alias("k"))
+    sizes = cut(t.where("n > 0").join(F.broadcast(plan.select("source")), "source").groupBy("source", "n").agg(F.count("*").alias("k")))
     have = {r.source: int(r.tokens) for r in sizes.groupBy("source").agg(F.sum(F.col("n") * F.col("k")).alias("tokens")).collect()}
     shares = {r.source: float(r.share) for r in rows if r.source in have}
     caps = {r.source: int(r.cap) for r in rows if r.source in have}

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,38 +34,44 @@ def name_tokens(x: Column) -> Column:
     return F.filter(F.regexp_extract_all(y, F.lit("([a-z]+)"), F.lit(1)), lambda w: ~w.isin(*TITLES))
 
 
-def token_rows(people: DataFrame) -> DataFrame:
-    """(id, first, last) to (id, pos, token, is_first); placeholders have no tokens."""
+def typed_names(people: DataFrame) -> DataFrame:
+    """(first, last) as typed, null being empty, each once, with the number n of rows that have them."""
+    return people.groupBy(F.coalesce("first", F.lit("")).alias("first"), F.coalesce("last", F.lit("")).alias("last")).agg(F.count("*").alias("n"))
+
+
+def token_rows(names: DataFrame) -> DataFrame:
+    """(first, last, n) to (first, last, pos, token, is_first, n); placeholders have no tokens."""
     tokens = lambda c: F.when(F.lower(F.trim(c)).isin(*PLACEHOLDERS), F.array().cast("array<string>")).otherwise(name_tokens(F.col(c)))
-    p = people.select("id", tokens("first").alias("f"), tokens("last").alias("l"))
-    both = F.concat(F.transform("f", lambda w: F.struct(w.alias("token"), F.lit(1).alias("is_first"))), F.transform("l", lambda w: F.struct(w.alias("token"), F.lit(0).alias("is_first"))))
-    return p.select("id", F.posexplode(both).alias("pos", "t")).select("id", "pos", "t.token", "t.is_first")
+    both = F.concat(F.transform(tokens("first"), lambda w: F.struct(w.alias("token"), F.lit(1).alias("is_first"))), F.transform(tokens("last"), lambda w: F.struct(w.alias("token"), F.lit(0).alias("is_first"))))
+    return names.select("first", "last", "n", F.posexplode(both).alias("pos", "t")).select("first", "last", "n", "pos", "t.token", "t.is_first")
 
 
 def name_vocabulary(tokens: DataFrame) -> DataFrame:
     """(token, fixed, n, given): each spelling with the one it is a slip of, that one's count and share among first names."""
-    counts = cut(tokens.groupBy("token").agg(F.count("*").alias("n"), F.sum("is_first").alias("n_first")))
+    counts = cut(tokens.groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("is_first")).alias("n_first")))
     fixes = corrections(counts.select("token", "n"), dominance=2)
-    main = counts.select(F.col("token").alias("fixed"), "n", (F.col("n_first") / F.col("n")).alias("given"))
+    main = counts.select(F.col("token").alias("fixed"), F.col("n"), (F.col("n_first") / F.col("n")).alias("given"))
     return counts.select("token").join(fixes.select("token", "fixed"), "token", "left").withColumn("fixed", F.coalesce("fixed", "token")).join(main, "fixed")
 
 
 def name_parts(people: DataFrame, everyone: DataFrame | None = None, least: int = 2) -> DataFrame:
-    """(id, first, last) to (id, surname, givens): one row per id with at least ``least`` tokens, in whatever order they were typed.
+    """(id, first, last) to (id, surname, givens): a row for each row with at least ``least`` tokens, in whatever order they were typed.
 
-    Tokens are corrected against all tokens of ``everyone`` (people, if not given). The surname is the token that, as corrected,
-    is least often a first name; givens holds the other tokens in order, initials included. A single token that is mostly a first name
-    stands in givens, and surname is empty.
+    Names are taken apart once for each way they are typed, not for each row. Tokens are corrected against all tokens of ``everyone``
+    (people, if not given). The surname is the token that, as corrected, is least often a first name; givens holds the other tokens
+    in order, initials included. A single token that is mostly a first name stands in givens, and surname is empty.
     """
-    t = token_rows(people.dropDuplicates(["id"]))
-    v = name_vocabulary(t if everyone is None else token_rows(everyone))
-    entry = F.struct("pos", F.col("fixed").alias("token"), "n", "given")
-    g = t.join(lookup(v), "token").groupBy("id").agg(F.collect_list(entry).alias("ts")).where(F.size("ts") >= least)
-    rank = F.array_min(F.transform("ts", lambda x: F.struct((F.length(x["token"]) < 3).alias("a"), F.round(x["given"], 1).alias("b"), x["n"].alias("c"), (-x["pos"]).alias("d"))))
+    mine = cut(typed_names(people))
+    v = name_vocabulary(token_rows(mine if everyone is None else cut(typed_names(everyone))))
+    entry = F.struct("pos", F.col("fixed").alias("token"), F.col("m").alias("n"), "given")
+    g = token_rows(mine).join(lookup(v.withColumnRenamed("n", "m")), "token").groupBy("first", "last").agg(F.collect_list(entry).alias("ts")).where(F.size("ts") >= least)
+    rank = F.array_min(F.transform("ts", lambda x: F.struct((F.length(x["token"]) < 2).alias("a"), F.round(x["given"], 1).alias("b"), x["n"].alias("c"), (-x["pos"]).alias("d"))))
     g = g.withColumn("at", F.when((F.size("ts") > 1) | (F.col("ts")[0]["given"] <= 0.5), -rank["d"]).otherwise(-1))
     surname = F.coalesce(F.get(F.filter("ts", lambda x: x["pos"] == F.col("at")), F.lit(0))["token"], F.lit(""))
     givens = F.transform(F.filter("ts", lambda x: x["pos"] != F.col("at")), lambda x: x["token"])
-    return g.select("id", surname.alias("surname"), F.array_sort(givens).alias("givens")).where((F.length("surname") > 2) | (F.col("surname") == ""))
+    parts = g.select("first", "last", surname.alias("surname"), F.array_sort(givens).alias("givens")).where((F.length("surname") > 1) | (F.col("surname") == ""))
+    rows = people.select("id", F.coalesce("first", F.lit("")).alias("first"), F.coalesce("last", F.lit("")).alias("last"))
+    return rows.join(lookup(parts), ["first", "last"]).select("id", "surname", "givens")
 
 
 def short_form(long: str, short: str) -> bool:
@@ -96,20 +101,51 @@ def same_given(a: str, b: str, nick: frozenset[tuple[str, str]]) -> float:
 UNKNOWN = 0.3
 
 
+def assignment(score: list[list[float]]) -> list[int]:
+    """For each row the column that an assignment of highest total gives it (rows at most as many as columns), by shortest augmenting paths."""
+    n, m = len(score), len(score[0]) if score else 0
+    u, v, owner = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        owner[0], at = i, 0
+        best, back, done = [float("inf")] * (m + 1), [0] * (m + 1), [False] * (m + 1)
+        while owner[at]:
+            done[at] = True
+            row, step, to = owner[at], float("inf"), 0
+            for j in range(1, m + 1):
+                if not done[j]:
+                    cost = -score[row - 1][j - 1] - u[row] - v[j]
+                    if cost < best[j]:
+                        best[j], back[j] = cost, at
+                    if best[j] < step:
+                        step, to = best[j], j
+            for j in range(m + 1):
+                if done[j]:
+                    u[owner[j]] += step
+                    v[j] -= step
+                else:
+                    best[j] -= step
+            at = to
+        while at:
+            owner[at] = owner[back[at]]
+            at = back[at]
+    out = [0] * n
+    for j in range(1, m + 1):
+        if owner[j]:
+            out[owner[j] - 1] = j - 1
+    return out
+
+
 def align(a: tuple[str, ...], b: tuple[str, ...], nick: frozenset[tuple[str, str]]) -> float:
     """Optimal assignment of the shorter list's tokens to the longer one's: the mean agreement, 0 if one token finds no partner."""
     a, b = sorted((a, b), key=len)
     if not a:
         return UNKNOWN
-    if len(b) > 5:  # names are short; beyond that the assignment goes token by token
-        got = [max(same_given(x, y, nick) for y in b) for x in a]
-        return sum(got) / len(got) if all(got) else 0.0
-    best = 0.0
-    for order in permutations(b, len(a)):
-        got = [same_given(x, y, nick) for x, y in zip(a, order)]
-        if all(got):
-            best = max(best, sum(got) / len(got))
-    return best
+    score = [[same_given(x, y, nick) for y in b] for x in a]
+    if len(a) == 1:
+        return max(score[0])
+    # a token without a partner costs more than all others can gain
+    got = [s[j] for s, j in zip(score, assignment([[x or -float(len(a)) for x in s] for s in score]))]
+    return sum(got) / len(got) if all(got) else 0.0
 
 
 def align_udf(forms: list[tuple[str, str]]):
@@ -132,14 +168,8 @@ def short_forms(given_name_forms: DataFrame, most: int = 100_000) -> list[tuple[
     return sorted((r[0], r[1]) for r in rows)
 
 
-def classes_of(parts: DataFrame, by: list[str]) -> DataFrame:
-    """Distinct name spellings with an id, their letters for blocking and how often they occur."""
-    c = parts.groupBy(*by).agg(F.count("*").alias("n"))
-    return c.withColumn("cls", F.xxhash64(*by))
-
-
 def same_person_names(people: DataFrame, given_name_forms: DataFrame, everyone: DataFrame | None = None) -> DataFrame:
-    """(id, first, last) to pairs (a, b), a < b, of ids whose names mean one person.
+    """(id, first, last), each id once, to pairs (a, b), a < b, of ids whose names mean one person.
 
     Spellings collapse into classes first; classes meet under the corrected surname and an initial, never as records. Two classes
     agree if the optimal assignment of their given names leaves none of the shorter name without a partner. A class of initials
@@ -147,26 +177,22 @@ def same_person_names(people: DataFrame, given_name_forms: DataFrame, everyone:
     """
     parts = cut(name_parts(people, everyone))
     roots = same_core(parts.select(F.col("surname").alias("core")).distinct()).withColumnRenamed("core", "surname")
-    parts = cut(parts.join(roots, "surname").select("id", F.col("root").alias("surname"), "givens"))
-    c = cut(classes_of(parts, ["surname", "givens"]))
+    parts = cut(parts.join(lookup(roots), "surname").select("id", F.col("root").alias("surname"), "givens"))
+    c = cut(parts.select("surname", "givens").distinct().withColumn("cls", F.monotonically_increasing_id()))
     letters = c.withColumn("letter", F.explode(F.array_distinct(F.transform("givens", lambda x: F.substring(x, 1, 1)))))
     a = letters.select("surname", "letter", F.col("cls").alias("ca"), F.col("givens").alias("ga"))
     b = letters.select("surname", "letter", F.col("cls").alias("cb"), F.col("givens").alias("gb"))
-    near = a.join(b, ["surname", "letter"]).where("ca < cb").dropDuplicates(["ca", "cb"])
-    near = cut(near.withColumn("s", align_udf(short_forms(given_name_forms))("ga", "gb")).where("s > 0").select("ca", "cb", "ga", "gb", "s"))
-    both = near.select("ca", "cb", "ga", "gb").unionByName(near.select(F.col("cb").alias("ca"), F.col("ca").alias("cb"), F.col("gb").alias("ga"), F.col("ga").alias("gb")))
+    near = a.join(b, ["surname", "letter"]).where("ca < cb").select("ca", "cb", "ga", "gb").distinct()
+    near = cut(near.withColumn("s", align_udf(short_forms(given_name_forms))("ga", "gb")).where("s > 0").select("ca", "cb", "ga", "gb"))
+    both = near.unionByName(near.select(F.col("cb").alias("ca"), F.col("ca").alias("cb"), F.col("gb").alias("ga"), F.col("ga").alias("gb")))
     # partners of a class of initials that share no full token with one another: the initials say nothing
     initials = lambda g: F.forall(g, lambda x: F.length(x) == 1)
-    full = lambda g: F.filter(g, lambda x: F.length(x) > 2)
-    of_initials = both.where(initials("ga") & ~initials("gb")).select("ca", F.col("cb"), full("gb").alias("fb"))
-    links = near.select("ca", "cb").unionByName(near.select(F.col("cb").alias("ca"), F.col("ca").alias("cb")))
-    x = of_initials.select("ca", F.col("cb").alias("p"))
-    clash = x.join(x.withColumnRenamed("p", "q"), "ca").where("p < q").join(links.select(F.col("ca").alias("p"), F.col("cb").alias("q")), ["p", "q"], "left_anti")
-    doubtful = clash.select("ca").distinct()
+    x = both.where(initials("ga") & ~initials("gb")).select("ca", F.col("cb").alias("p"))
+    clash = x.join(x.withColumnRenamed("p", "q"), "ca").where("p < q").join(both.select(F.col("ca").alias("p"), F.col("cb").alias("q")), ["p", "q"], "left_anti")
+    doubtful = cut(clash.select("ca").distinct())
     good = near.select("ca", "cb").join(doubtful, "ca", "left_anti").join(doubtful.withColumnRenamed("ca", "cb"), "cb", "left_anti")
     good = good.unionByName(c.select(F.col("cls").alias("ca"), F.col("cls").alias("cb")))
-    member = parts.select("id", F.xxhash64("surname", "givens").alias("cls"))
-    return pairs_of_links(good, member)
+    return pairs_of_links(good, cut(parts.join(c, ["surname", "givens"]).select("id", "cls")))
 
 
 def pairs_of_links(links: DataFrame, member: DataFrame) -> DataFrame:
@@ -199,16 +225,15 @@ def company_parts(companies: DataFrame) -> DataFrame:
     return t.where(F.length("core") > 2).select("id", "core", "sector", word_orders(F.col("ws")).alias("orders"))
 
 
-def same_core(cores: DataFrame, rounds: int = 2) -> DataFrame:
-    """(core) distinct to (core, root): spellings one deletion apart (each way) get one root, over so many steps."""
-    forms = cores.select("core", F.explode(delete_forms(F.col("core"))).alias("form")).where(F.length("form") > 3)
-    hub = forms.groupBy("form").agg(F.min("core").alias("root"), F.count("*").alias("n")).where("n > 1")
-    forms = forms.join(hub.select("form"), "form", "left_semi")
-    roots = cores.select("core", F.col("core").alias("root"))
-    for _ in range(rounds):
-        step = forms.join(roots, "core").groupBy("form").agg(F.min("root").alias("r")).join(forms, "form").groupBy("core").agg(F.min("r").alias("r"))
-        roots = cut(roots.join(step, "core", "left").select("core", F.least("root", "r").alias("root")))
-    return roots
+def same_core(cores: DataFrame) -> DataFrame:
+    """(core) distinct to (core, root): spellings that a chain of single slips connects get one root, however long the chain."""
+    s = cut(cores.withColumn("node", F.monotonically_increasing_id()))
+    forms = s.select("node", "core", F.explode(delete_forms(F.col("core"))).alias("form")).where(F.length("form") > 3)
+    met = forms.join(forms.select(F.col("node").alias("y"), F.col("core").alias("other"), "form"), "form").where("node < y").select(F.col("node").alias("x"), "y", "core", "other").distinct()
+    links = met.where(edit_count("core", "other") < 2).select("x", "y")
+    names = s.select(F.col("node").alias("root"), F.col("core").alias("name"))
+    roots = components(s.select("node"), links)
+    return s.join(roots, "node").join(names, "root").select("core", F.col("name").alias("root"))
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -232,7 +257,7 @@ def same_organisations(spellings: DataFrame) -> DataFrame:
     the organisation nearest to them, if there is only one at that distance.
     """
     orders = F.array_union(F.array("core"), "orders") if "orders" in spellings.columns else F.array("core")
-    s = cut(spellings.select("core", "sector", orders.alias("orders"), F.xxhash64("core", F.coalesce("sector", F.lit(""))).alias("node")))
+    s = cut(spellings.select("core", "sector", orders.alias("orders"), F.monotonically_increasing_id().alias("node")))
     form = lambda t: t.withColumn("form", F.explode(reach_forms(F.col("word")))).where((F.length("form") > 3) | (F.col("form") == F.col("word"))).withColumn("form", F.xxhash64("form"))
     a = form(s.select("node", "core", F.explode("orders").alias("word"), "sector")).select("form", F.col("node").alias("x"), "core", F.col("word").alias("word_x"), F.col("sector").alias("sector_x"))
     b = form(s.select("node", F.col("core").alias("word"), "sector")).select("form", F.col("node").alias("y"), F.col("word").alias("word_y"), F.col("sector").alias("sector_y"))

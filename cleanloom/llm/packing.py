@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleanloom.functions.session import cut
-from cleanloom.llm.splitting import Cuts, split_points
+from cleanloom.llm.splitting import Cuts, full_points, wanted_limits
 from cleanloom.llm.tokens import VOCABULARY
 
 Bins = list[list[int]]
@@ -128,7 +128,7 @@ def text_items(documents: DataFrame, capacities: Sequence[int], id_col: str = "d
                         rows.append((key, c, 0, 0, size))
                         continue
                     cuts = cuts or Cuts(offsets, raw)
-                    rows += [(key, c, k, int(offsets[a]), b - a) for k, (a, b, _, _) in enumerate(split_points(cuts, c, 0, NEAR_FULL))]
+                    rows += [(key, c, k, int(offsets[a]), b - a) for k, (a, b, _, _) in enumerate(full_points(cuts, c, NEAR_FULL))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], [c.split()[0] for c in schema.split(", ")])
 
@@ -156,7 +156,7 @@ def fill_containers(
     the fewest containers, then the fullest ones, stands. Null and empty texts are in no container; a repeated id counts once;
     extra columns are ignored; empty tables give an empty result. The same input gives the same containers.
     """
-    sizes = sorted({int(r[0]) for r in limits.where("limit_kind = 'container' AND max_tokens > 0").select("max_tokens").distinct().take(1000)})
+    sizes = sorted({m for m, _ in wanted_limits(limits, "container")})
     items = cut(text_items(documents, sizes, id_col, text_col, vocabulary).dropDuplicates([id_col, "max_tokens", "piece_no"]))
     counts = {r[0]: r[1] for r in items.groupBy("max_tokens").count().collect()}  # a row for each container size
     blocks = F.coalesce(*(F.when(F.col("max_tokens") == c, F.lit(-(-n // block))) for c, n in counts.items()), F.lit(1)) if counts else F.lit(1)

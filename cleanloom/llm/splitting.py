@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from cleanloom.llm.tokens import VOCABULARY, Tokenizer
 
 #: Kinds of boundary from the strongest: section, paragraph, line, sentence, word, character.
-LEVELS = ("section", "paragraph", "line", "sentence", "word", "character")
+LEVELS = ("section", "paragraph", "line", "sentence", "word", "character", "end")
+END = 6
+#: Limits that one run may have.
+MOST_LIMITS = 1000
 # Turkish and English short forms whose full stop ends no sentence, in lower case.
 SHORT = ("sn", "dr", "prof", "no", "vb", "vs", "ltd", "şti", "a.ş", "cad", "sk", "sok", "mah", "apt", "bulv", "mr", "mrs", "ms", "e.g", "i.e", "etc", "tel", "min", "max")
 _SHORT = tuple(p + x.encode() for x in SHORT for p in (b" ", b"(", b"\n"))
@@ -56,10 +59,10 @@ class Cuts:
         strength = boundary_levels(raw)[offsets]
         strength[0] = 0
         self.by = [np.flatnonzero(strength == k).tolist() for k in (5, 4, 3, 2, 1)]
-        self.any = np.flatnonzero(strength > 0).tolist()
         self.n = len(offsets) - 1
         a = np.frombuffer(raw, dtype=np.uint8)
         self.whole = ((a[offsets[:-1]] & 0xC0) != 0x80).tolist()  # a token may begin inside a character
+        self.strength = strength
 
     def last(self, low: int, high: int) -> tuple[int, int] | None:
         """(index, kind) of the last cut of the strongest kind within low..high."""
@@ -69,41 +72,75 @@ class Cuts:
                 return at[k], kind
         return None
 
+    def whole_before(self, at: int, low: int) -> int:
+        """The last token from ``at`` down to ``low`` that begins a character."""
+        while at > low and not self.whole[at]:
+            at -= 1
+        return at
 
-def split_points(cuts: Cuts, limit: int, overlap: int, least: float = 0.5) -> list[tuple[int, int, int, int]]:
+
+def atoms(cuts: Cuts, size: int) -> list[int]:
+    """Ends of the parts of a text, none longer than ``size`` tokens, by the hierarchy of separators.
+
+    The text falls into its sections; those that are too long into paragraphs, those into lines, sentences, words and at last
+    characters. A part that fits isn't cut further.
+    """
+    ends: list[int] = []
+    todo = [(0, cuts.n, 0)]
+    while todo:
+        first, end, level = todo.pop()
+        if end - first <= size:
+            ends.append(end)
+        elif level < len(cuts.by):
+            at = cuts.by[level]
+            inside = at[bisect_right(at, first) : bisect_left(at, end)]
+            edges = [first, *inside, end]
+            todo += [(x, y, level + 1) for x, y in zip(edges[-2::-1], edges[:0:-1])]
+        else:
+            while end - first > size:
+                first = cuts.whole_before(first + size, first + 1)
+                ends.append(first)
+            ends.append(end)
+    return ends
+
+
+def split_points(cuts: Cuts, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
     """(first token, one past the last, tokens shared with the piece before, kind of the boundary at the end) of each piece.
 
-    Greedy from the left: a piece takes as many tokens as the limit allows up to a cut of the strongest kind beyond the share
-    ``least`` of what it may hold, else in all of it. A piece after the first begins ``overlap`` tokens before the last one's end, or further
-    left up to where a word begins, so that its tokens are those of the whole text; where one word is longer than the overlap, at
-    the token itself.
+    Parts (see atoms) are packed greedily: a piece takes the next part as long as it fits with the overlap before it. A piece after the
+    first begins exactly ``overlap`` tokens before the last one's end, or a few more where that token stands inside a character.
+    The last piece ends with the text.
     """
     n = cuts.n
     if n <= limit:
-        return [(0, n, 0, 0)] if n else []
+        return [(0, n, 0, END)] if n else []
     out: list[tuple[int, int, int, int]] = []
-    start = end = 0
-    while start + limit < n:
-        last, low = start + limit, max(end, start) + 1
-        at, kind = cuts.last(max(low, start + int(limit * least)), last) or cuts.last(low, last) or (0, 5)
-        if kind == 5:
-            at = last
-            while at > low and not cuts.whole[at]:
-                at -= 1
-        out.append((start, at, max(0, end - start), kind))
-        back = at - overlap
-        if overlap:
-            k = bisect_right(cuts.any, back) - 1
-            if k >= 0 and cuts.any[k] > max(start, back - overlap):
-                back = cuts.any[k]
-            else:
-                while back > start + 1 and not cuts.whole[back]:
-                    back -= 1
-        start, end = max(back, start + 1), at
-    out.append((start, n, max(0, end - start), 0))
+    start = shared = end = 0
+    kind = {5: 0, 4: 1, 3: 2, 2: 3, 1: 4, 0: 5}
+    # the first bytes of an overlap may belong to a character that begins up to three tokens before
+    for at in atoms(cuts, limit - overlap - (3 if overlap else 0)):
+        if at - start > limit:
+            out.append((start, end, shared, kind[int(cuts.strength[end])]))
+            start = cuts.whole_before(end - overlap, start + 1) if overlap else end
+            shared = end - start
+        end = at
+    out.append((start, n, shared, END))
     return out
 
 
+def full_points(cuts: Cuts, limit: int, least: float) -> list[tuple[int, int, int, int]]:
+    """As split_points() without overlap, but each piece fills at least the share ``least`` of the limit: it ends at the strongest
+    boundary beyond that, else at any, else within a word."""
+    out: list[tuple[int, int, int, int]] = []
+    start = 0
+    while start + limit < cuts.n:
+        last, low = start + limit, start + 1
+        at, kind = cuts.last(max(low, start + int(limit * least)), last) or cuts.last(low, last) or (cuts.whole_before(last, low), 5)
+        out.append((start, at, 0, kind))
+        start = at
+    return [*out, (start, cuts.n, 0, END)]
+
+
 def split_text(text: str, t: Tokenizer, limits: Sequence[tuple[int, int]]) -> Iterator[tuple[int, int, int, int, int, int, str, str]]:
     """(limit, overlap, piece, first byte, tokens, shared tokens, boundary, text) for each limit that the text exceeds."""
     raw = text.encode("utf-8", "replace")
@@ -118,18 +155,25 @@ def split_text(text: str, t: Tokenizer, limits: Sequence[tuple[int, int]]) -> It
             yield limit, overlap, k, at[first], end - first, shared, LEVELS[kind], raw[at[first] : at[end]].decode("utf-8", "ignore")
 
 
+def wanted_limits(limits: DataFrame, kind: str) -> list[tuple[int, int]]:
+    """(max_tokens, overlap_tokens) of a kind in order; each is work of its own over all texts, so more than MOST_LIMITS are an error."""
+    rows = limits.where((F.col("limit_kind") == kind) & (F.col("max_tokens") > 0)).select("max_tokens", F.coalesce("overlap_tokens", F.lit(0)).alias("o")).distinct().take(MOST_LIMITS + 1)
+    if len(rows) > MOST_LIMITS:
+        raise ValueError(f"more than {MOST_LIMITS} limits")
+    return sorted((int(r[0]), int(r[1])) for r in rows)
+
+
 def split_texts(documents: DataFrame, limits: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """Pieces of the texts that exceed a limit: (doc_id, max_tokens, overlap_tokens, piece_no, start_byte, n_tokens, shared_tokens, boundary, piece).
 
     limits: rows of limit_kind 'piece' with max_tokens and overlap_tokens; each is applied to every document by itself. A text is
-    encoded once for all limits. Cuts go to the strongest kind of boundary at hand: section, paragraph, line, sentence, word,
-    character. Without overlaps the pieces join to the text exactly. Texts within a limit, null and empty ones give no rows; the
+    encoded once for all limits. Cuts follow the hierarchy section, paragraph, line, sentence, word, character; boundary is the
+    kind at the end of a piece, ``end`` for the last one. Without overlaps the pieces join to the text exactly. Texts within a limit, null and empty ones give no rows; the
     same id with the same text counts once for each row; long texts are split by their worker in one pass; there is no shuffle.
     """
-    wanted = [(int(r.max_tokens), int(r.overlap_tokens or 0)) for r in limits.where("limit_kind = 'piece' AND max_tokens > 0").select("max_tokens", "overlap_tokens").distinct().take(1000)]
-    if any(o * 2 >= m for m, o in wanted):
+    wanted = wanted_limits(limits, "piece")
+    if any(o < 0 or o * 2 >= m for m, o in wanted):
         raise ValueError("an overlap must be less than half its limit")
-    wanted.sort()
     schema = f"{id_col} long, max_tokens int, overlap_tokens int, piece_no int, start_byte long, n_tokens int, shared_tokens int, boundary string, piece string"
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()]
 

@@ -43,16 +43,17 @@ def usable(field: str, x: Column) -> Column:
     return no_placeholder(x) & F.coalesce(F.length(strip(x)) > 2, F.lit(False))
 
 
-#: Fields that are taken from one record together: (bundle, its leading field, the others). Order is the order of importance.
+#: Fields that are taken from one record together: (bundle, its leading field, the others). Order is the order of importance. A place
+#: stands in where the surviving address record tells no city.
 BUNDLES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
-    ("address", "address", ()),
+    ("address", "address", ("city", "district")),
     ("email", "email", ()),
     ("phone", "phone", ()),
     ("company", "company", ()),
     ("place", "city", ("district",)),
     ("name", "last_name", ("first_name",)),
 )
-#: Functional dependencies between bundles: where the first names a city, the second must be of that city.
+#: Functional dependencies between bundles, by a key that both have: where an address names a city, the place must be of that city.
 DEPENDENCIES: tuple[tuple[str, str], ...] = (("address", "place"),)
 
 
@@ -99,13 +100,17 @@ def branch_and_bound(options: Sequence[Sequence[tuple[float, str | None]]], ties
 def survivors(groups: DataFrame, records: DataFrame, registry: DataFrame, reference: DataFrame, person_col: str = "person_id", id_col: str = "source_record_id") -> DataFrame:
     """One surviving record for each group: (person_id, <field>, <field>_record_id ...), a field being null if no value is usable.
 
-    Candidates are whole bundles of fields of one record, such as city with district. The trust of a candidate is its rank in its
-    bundle: later updated_at first (null last), then the more trusted source, then the smaller id. Branch and bound picks one
-    candidate of each bundle with the highest total trust, a more important bundle outweighing all less important ones, under the
-    dependencies: a place must lie in the city that the surviving address names. Groups are reduced before they are gathered: of
-    each person, bundle and city only the best candidate is kept, so one person's rows are at most one more than the reference has
-    cities, however many records the group has. A record counts once although its id stands twice in a group or was delivered
-    twice (the latest delivery counts). Ids without a record are passed over; a group without any usable value still gives a row.
+    Candidates are whole bundles of fields of one record: an address with its city and district, a city with its district, a last name with
+    its first name. Two functional dependencies hold. district -> city: a record whose district isn't one of its city offers neither
+    of them, only its address. address -> city: the place that stands in for an address without a city must not contradict the city which
+    that address's record is in by its district. The trust of a candidate is its rank in its bundle: later updated_at first
+    (null last), then the more trusted source, then the smaller id. Branch and bound picks one candidate of each bundle with the highest
+    total trust, a more important bundle outweighing all less important ones, among the choices in which all dependencies hold.
+
+    Groups are reduced before they are gathered: of each person, bundle and city only the best candidate is kept, so one person's
+    rows are at most one more than the reference has cities, however many records the group has. A record counts once although its
+    id stands twice in a group or was delivered twice (the latest delivery counts). Ids without a record are passed over; a group
+    without any usable value still gives a row.
     """
     g = groups.select(F.col(person_col).alias("person"), F.explode_outer(F.array_distinct("source_record_ids")).alias("id")).where("person IS NOT NULL").distinct()
     fields = sorted({f for _, lead, more in BUNDLES for f in (lead, *more)})
@@ -114,21 +119,30 @@ def survivors(groups: DataFrame, records: DataFrame, registry: DataFrame, refere
     t = g.join(r, "id", "left")
     latest = F.max_by(F.struct("source_name", "updated_at", *fields), F.coalesce("ingested_at", F.lit("0001-01-02").cast("timestamp")))
     t = t.groupBy("person", "id").agg(latest.alias("r")).select("person", "id", "r.*")
-    # the registry of sources and the reference of cities are fixed lists, and far below the broadcast limit that Spark checks itself
+    # the registry of sources and the reference of places are fixed lists, and far below the broadcast limit that Spark checks itself
     t = t.join(rank, "source_name", "left")
-    city = fold(strip(F.col("canonical_name")))
-    cities = reference.where("kind = 'city'").select(city.alias("city_key")).distinct().withColumn("known", F.lit(True))
-    t = t.withColumn("city_key", fold(strip(F.col("city")))).join(cities, "city_key", "left").withColumn("city_key", F.when(F.col("known"), F.col("city_key"))).drop("known")
+    name = fold(strip(F.col("canonical_name")))
+    cities = reference.where("kind = 'city'").groupBy(name.alias("city_key")).agg(F.collect_set("place_id").alias("city_ids"))
+    districts = reference.where("kind = 'district'").groupBy(name.alias("district_key")).agg(F.array_compact(F.collect_set("parent_place_id")).alias("parents"))
+    home = reference.where("kind = 'city'").select(F.col("place_id").alias("only"), name.alias("of_district"))
+    t = t.withColumn("city_key", fold(strip(F.col("city")))).withColumn("district_key", fold(strip(F.col("district")))).join(cities, "city_key", "left").join(districts, "district_key", "left")
+    t = t.withColumn("only", F.when(F.size("parents") == 1, F.col("parents")[0])).join(home, "only", "left")
+    known, listed = F.col("city_ids").isNotNull(), F.col("parents").isNotNull()
+    holds = ~(known & listed) | F.arrays_overlap("city_ids", "parents")
+    # the city that the record is in: its own, or that of its district; none if the two contradict one another
+    t = t.withColumn("holds", F.coalesce(holds, F.lit(True))).withColumn("city_key", F.when(F.col("holds"), F.coalesce(F.when(known, F.col("city_key")), F.col("of_district"))))
     trust = F.struct(
         F.coalesce(F.unix_micros("updated_at"), F.lit(-(2**62))).alias("at"),
         F.coalesce(-F.col("trust_rank"), F.lit(-(2**31) + 1)).cast("long").alias("rank"),
     )
+    told = F.col("holds") & F.coalesce(usable("city", F.col("city")), F.lit(False))
     best = []
     for name, lead, more in BUNDLES:
         ok = usable(lead, F.col(lead)) & F.col("id").isNotNull()
         if name == "place":
-            ok = ok & F.col("city_key").isNotNull()
-        value = F.struct(trust.alias("trust"), F.col("id"), *(F.col(f) for f in (lead, *more)))
+            ok = ok & known & F.col("holds")
+        kept = lambda f: F.when(told, F.col(f)).alias(f) if name == "address" and f != lead else F.col(f)  # noqa: B023, E731
+        value = F.struct(trust.alias("trust"), F.col("id"), *(kept(f) for f in (lead, *more)))
         # max_by is not settled among equals, so the smaller id is made to win by its place in the order
         best.append(F.min_by(F.when(ok, value), F.when(ok, F.struct((-trust["at"]).alias("a"), (-trust["rank"]).alias("b"), F.col("id").alias("c")))).alias(name))
     t = t.groupBy("person", "city_key").agg(*best)
@@ -136,30 +150,27 @@ def survivors(groups: DataFrame, records: DataFrame, registry: DataFrame, refere
     schema = "person string, " + ", ".join(f"{f} string, {f}_record_id string" for f in fields)
 
     def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [b[0] for b in BUNDLES]
-        ties = [(names.index(a), names.index(b)) for a, b in DEPENDENCIES]
         for part in parts:
-            out = []
-            for person, rows in zip(part["person"], part["rows"]):
-                cand = [[(x[n], x["city_key"]) for x in rows if x[n] is not None] for n in names]
-                options = []
-                for k, cs in enumerate(cand):
-                    cs.sort(key=lambda c: c[0]["id"])
-                    cs.sort(key=lambda c: (c[0]["trust"]["at"], c[0]["trust"]["rank"]), reverse=True)
-                    weight = 4.0 ** (len(names) - k)
-                    options.append([(weight * (1 + 1 / (i + 1)), key) for i, (_, key) in enumerate(cs)])
-                pick = branch_and_bound(options, ties)
-                row = {"person": person}
-                for (n, lead, more), i, cs in zip(BUNDLES, pick, cand):
-                    for f in (lead, *more):
-                        row[f] = None if i is None else cs[i][0][f]
-                        row[f"{f}_record_id"] = None if i is None else cs[i][0]["id"]
-                out.append(row)
-            yield pd.DataFrame(out, columns=["person", *(c for f in fields for c in (f, f"{f}_record_id"))], dtype=object)
+            rows = [{"person": p} | survivor(rs) for p, rs in zip(part["person"], part["rows"])]
+            yield pd.DataFrame(rows, columns=["person", *(c for f in fields for c in (f, f"{f}_record_id"))], dtype=object)
 
     return wide.mapInPandas(solve, schema).withColumnRenamed("person", person_col)
 
 
+def survivor(rows: Sequence[dict]) -> dict[str, str | None]:
+    """The chosen value and record of each field, from rows of a city_key and the best candidate of each bundle there."""
+    names = [b[0] for b in BUNDLES]
+    ties = [(names.index(a), names.index(b)) for a, b in DEPENDENCIES]
+    cand = [sorted(((x[n], x["city_key"]) for x in rows if x[n] is not None), key=lambda c: (-c[0]["trust"]["at"], -c[0]["trust"]["rank"], c[0]["id"])) for n in names]
+    options = [[(4.0 ** (len(names) - k) * (1 + 1 / (i + 1)), key) for i, (_, key) in enumerate(cs)] for k, cs in enumerate(cand)]
+    out: dict[str, str | None] = {}
+    for (_, lead, more), i, cs in zip(BUNDLES, branch_and_bound(options, ties), cand):
+        for f in (lead, *more):
+            if i is not None and out.get(f) is None:
+                out[f], out[f"{f}_record_id"] = cs[i][0][f], cs[i][0]["id"] if cs[i][0][f] is not None else None
+    return out
+
+
 def survivor_records(survivors: DataFrame, fields: Sequence[str] = ("email", "phone", "company", "address"), person_col: str = "person_id", id_col: str = "source_record_id") -> DataFrame:
     """(person_id, field_name, source_record_id): which record's value survives; no row where none does."""
     each = F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f"{f}_record_id").alias(id_col)) for f in fields))

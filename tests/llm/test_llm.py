@@ -1,11 +1,13 @@
+import datetime
 import itertools
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from cleanloom.functions.text import fold_py
 from cleanloom.llm import linkage, mixing, names, packing, places, splitting, survivors, tokens
-from cleanloom.llm.addresses import parse_addresses, same_buildings
+from cleanloom.llm.addresses import address_parts, building_classes, same_buildings
 from cleanloom.llm.strings import DeleteIndex, osa
 
 REF = "place_id int, kind string, canonical_name string, parent_place_id int"
@@ -50,10 +52,41 @@ def test_map_places(spark, ref):
     assert places.map_places(r.limit(0), *ref).count() == 0
 
 
-def test_address_parts(spark):
-    df = spark.createDataFrame([("K.8 Daire 4, Fetuluk Mahalle, Nanofodüt Cad., NO:299/B, 64186",), ("Pehezan Mahalle Yivüdüdam #40 Kicile/Yusedötepe",), (None,), ("",), ("x" * 100_000,)], "a string")
-    got = [(r.number, r.street, r.quarter, r.postcode) for r in parse_addresses(df, "a", ["kicile", "yusedotepe"]).collect()]
-    assert got[:2] == [("299b", "nanofodut", "fetuluk", "64186"), ("40", "yivududam", "pehezan", None)] and all(g[0] is None for g in got[2:])
+def test_address_parts():
+    places = frozenset({"kicile", "yusedotepe", "yeni sehir"})
+    of = lambda a: address_parts(fold_py(a), places)
+    assert of("K.8 Daire 4, Fetuluk Mahalle, Nanofodüt Cad., NO:299/B, 64186") == ("299b", "nanofodut", "fetuluk", "", "", "64186")
+    assert of("Pehezan Mahalle Yivüdüdam #40 Kicile/Yusedötepe") == ("40", None, "pehezan", "", "yivududam", None)
+    assert of("Yivüdüdam Ak Köşk Apt 7 Yeni Şehir") == ("7", None, None, "kosk", "yivududam +ak", None)
+    assert of("Nanofodüt Cad. No: 123456") == ("123456", "nanofodut", None, "", "", None)
+    assert of("Nanofodüt Cad. No: 12345")[0] == "12345" and of("") is None and of("x" * 100_000) is None and of("64186 Kicile") is None
+
+
+def test_number_of_any_length(spark, ref):
+    r = rec(spark, [{"source_record_id": i, "address": a, "city": "Zilöpa"} for i, a in [("a", "Nanofodüt Cad. No:123456"), ("b", "nanofodut cd no 123456"), ("c", "Nanofodüt Cad. No:12345")]])
+    assert {tuple(x) for x in same_buildings(r, *ref).collect()} == {("a", "b")}
+
+
+def test_rarity_and_slips_decide_buildings(spark, ref):
+    town = [{"source_record_id": f"t{k:03}", "address": f"Sokak{chr(97 + k % 20)}{chr(97 + k // 20)} Sk. No:{k} Kervan Apt.", "city": "Zilöpa"} for k in range(120)]
+    rows = [
+        ("a", "Tuzlama Mah. Nanofodüt Cad. No:7 Kervan Apt.", "Yusedötepe"),
+        ("b", "Tuzlama Mah. Nanofodüt Cad. No:7", None),  # the quarter is rare: its weight suffices
+        ("c", "Tuzlma Mah. Nanofodüt Cad. No:7", None),  # the quarter is a slip
+        ("d", "Nanofodüt Cad. No:7 Kervan Apt.", None),  # the house stands everywhere: too little
+        ("e", "Başka Mah. Nanofodüt Cad. No:7 Kervan Apt.", None),
+    ]
+    r = rec(spark, town + [{"source_record_id": i, "address": a, "city": c} for i, a, c in rows])
+    got = {tuple(x) for x in same_buildings(r, *ref).collect()}
+    assert got == {("a", "b"), ("a", "c"), ("b", "c")}
+
+
+def test_a_street_with_two_slips_meets_by_its_quarter(spark, ref):
+    rows = [{"source_record_id": f"m{k}", "address": f"Tuzlama Mah. Nanofodütme Cad. No:{k}", "city": "Zilöpa"} for k in range(7, 12)]
+    r = rec(spark, [*rows, {"source_record_id": "x", "address": "Tuzlama Mah. Nonofodütne Cad. No:7", "city": "Zilöpa"}, {"source_record_id": "y", "address": "Tuzlama Mah. Kalabora Cad. No:7", "city": "Zilöpa"}])
+    assert {tuple(x) for x in same_buildings(r, *ref).collect()} == {("m7", "x")}
+    c = {x.source_record_id: x for x in building_classes(r, *ref).collect()}
+    assert c["x"].building == c["m7"].building and c["x"].records == 2 and c["y"].records == 1
 
 
 def test_buildings(spark, ref):
@@ -77,13 +110,48 @@ def test_branch_and_bound_against_all_choices():
         assert abs(sum(opts[k][i][0] for k, i in enumerate(got) if i is not None) - best) < 1e-9
 
 
+def test_dependencies_of_survivors(spark, ref):
+    g = spark.createDataFrame([("P", ["r1", "r2", "r3"]), ("Q", ["r4", "r5"]), ("R", None)], "person_id string, source_record_ids array<string>")
+    at = [datetime.datetime(2024, 1, d) for d in range(1, 6)]
+    home = "Nanofodüt Cad. No:7"
+    r = rec(spark, [
+        {"source_record_id": "r1", "city": "Zilöpa", "address": home, "updated_at": at[2]},
+        {"source_record_id": "r2", "city": "Yusedötepe", "district": "Kicile", "updated_at": at[3]},
+        {"source_record_id": "r3", "city": "Zilöpa", "district": "Metinadere", "updated_at": at[1]},
+        {"source_record_id": "r4", "district": "Kicile", "address": home, "updated_at": at[2]},  # in Yusedötepe by its district
+        {"source_record_id": "r5", "city": "Zilöpa", "district": "Kicile", "address": home, "updated_at": at[1]},  # contradicts itself
+    ])
+    reg = spark.createDataFrame([("crm", 1)], "source_name string, trust_rank int")
+    got = {x.person_id: x for x in survivors.survivors(g, r, reg, ref[0]).collect()}
+    assert (got["P"].address_record_id, got["P"].city, got["P"].city_record_id) == ("r1", "Zilöpa", "r1")
+    assert got["Q"].address_record_id == "r4" and got["Q"].city is None and got["R"].address is None
+    rows = [
+        {"city_key": "a", "address": {"trust": {"at": 9, "rank": 0}, "id": "1", "address": "x", "city": None, "district": None}, "place": None},
+        {"city_key": "b", "address": None, "place": {"trust": {"at": 8, "rank": 0}, "id": "2", "city": "B", "district": None}},
+        {"city_key": "a", "address": None, "place": {"trust": {"at": 1, "rank": 0}, "id": "3", "city": "A", "district": "D"}},
+    ]
+    best = survivors.survivor([r | dict.fromkeys(("email", "phone", "company", "name")) for r in rows])
+    assert (best["city"], best["city_record_id"], best["district"]) == ("A", "3", "D")  # the later place alone would be B
+
+
 def test_names():
     nick = frozenset({("mustafa", "mistik")})
     ok = [(("k", "s"), ("kadriye", "serife")), (("mistik",), ("mustafa",)), (("zeko",), ("zekeriya",)), (("haliem",), ("halime",)), (("ilker",), ("bulent", "ilker"))]
     assert all(names.align(a, b, nick) > 0 for a, b in ok)
+    # the best partner of one token may be needed by another, with any number of tokens
+    assert names.align(("ali", "ali"), ("ali", "a", "x", "y", "z", "q", "w"), nick) == pytest.approx(0.8) and names.align(("ali", "ali"), ("ali", "b", "c", "d", "e", "f"), nick) == 0
     assert names.align(("filiz",), ("figen",), nick) == 0 and names.align(("c", "b"), ("ali",), nick) == 0
 
 
+def test_assignment_against_all_orders():
+    rng = random.Random(4)
+    for _ in range(200):
+        n, m = (k := sorted(rng.randint(1, 6) for _ in range(2)))[0], k[1]
+        score = [[rng.choice([-3.0, 0.6, 0.8, 0.9, 1.0]) for _ in range(m)] for _ in range(n)]
+        at = names.assignment(score)
+        assert len(set(at)) == n and abs(sum(s[j] for s, j in zip(score, at)) - max(sum(s[j] for s, j in zip(score, o)) for o in itertools.permutations(range(m), n))) < 1e-9
+
+
 def test_variant_names(spark):
     r = rec(spark, [{"source_record_id": i, "first_name": f, "last_name": l, "company": c} for i, f, l, c in [("a", "Kadriye", "Zezudurar", "Zayun Sefiro Mad. Ltd."), ("b", "ZEZUDURAR", "K.", "Madencilik ZayunSefiro"), ("c", "Ali", "Zezudurar", "Zayun Sefiro Gıda A.Ş."), ("d", None, None, "x")]])
     e = spark.createDataFrame([(i, f) for i in "abcd" for f in ("last_name", "company")] * 2, "source_record_id string, field_name string")
@@ -112,6 +180,28 @@ def test_companies_in_any_order_of_words(spark):
     assert got == {("a", "b"), ("a", "c"), ("b", "c")}
 
 
+P7 = {"id": "id", "first": "first", "last": "last", "email": "email", "phone": "phone", "city": "city", "district": "district", "address": "address"}
+
+
+def test_coupling_decides_matches(spark, ref):
+    schema = ", ".join(f"{c} string" for c in P7)
+    home = "Nanofodüt Cad. No:7"
+    a = [("a1", "Kadriye", "Zezudurar", "kad1@x.test", "0599 111 22 33", "Zilöpa", None, None), ("a2", "Kadriye", "Zezudurar", None, "0599 111 22 33", None, None, None)]  # a2 is known only through a1
+    a += [("a3", "Ayşegül", "Topavar", None, None, "Zilöpa", None, home), ("a4", "Ali", "Topavar", None, "0599 777 88 99", "Zilöpa", None, home)]  # two people of one initial in one home
+    a += [("a5", "Veli", "Kuzubar", "vel9@old.test", "0599 444 55 66", None, None, None)]
+    b = [("b1", "Kadriye", "Zezudurar", "kad1@x.test", None, None, None, None), ("b3", "A.", "Topavar", None, "0599 777 88 99", "Zilöpa", None, home), ("b5", "Veli", "Kuzubar", "vel9@new.test", None, None, None, None)]
+    s, p, forms = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), spark.createDataFrame([], "given_name string, short_form string")
+    got = {(r.source_record_id_a, r.source_record_id_b) for r in linkage.match_people(s, p, *ref, forms, (P7, P7)).collect()}
+    assert got == {("a1", "b1"), ("a2", "b1"), ("a4", "b3"), ("a5", "b5")}
+    most = linkage.WEIGHTS.copy()
+    try:
+        linkage.WEIGHTS.update(exclusive=1e-9, transitive=1e-9)
+        alone = {(r.source_record_id_a, r.source_record_id_b) for r in linkage.match_people(s, p, *ref, forms, (P7, P7)).collect()}
+    finally:
+        linkage.WEIGHTS.update(most)
+    assert alone == {("a1", "b1"), ("a5", "b5"), ("a3", "b3"), ("a4", "b3")}  # without coupling: one link lost, one false
+
+
 def test_alternating_directions_reach_the_optimum(spark):
     v = spark.createDataFrame([(1, 3.0, 1.0), (2, 0.0, 1.0), (3, 2.0, 1.0)], "var long, t double, z double")
     r = spark.createDataFrame([(1, 2, "same", 1.0), (1, 3, "other", 0.0)], "i long, j long, kind string, p double")
@@ -169,6 +259,24 @@ def test_pieces(limit, overlap):
     assert at == len(raw)
 
 
+def test_pieces_share_the_overlap_and_follow_the_hierarchy():
+    t = tokens.tokenizer(tokens.VOCABULARY)
+    text = "# Bir\n\n" + "Kısa cümle burada. " * 12 + "\n\n# İki\n\n" + "kelime " * 150 + "\n\n" + "z9" * 400
+    p = list(splitting.split_text(text, t, [(64, 16)]))
+    assert all(16 <= x[5] <= 19 for x in p[1:]) and [x[6] for x in p[:-1]].count("end") == 0 and p[-1][6] == "end"
+    assert {"sentence", "word", "character"} <= {x[6] for x in p}
+    # sections that fit are never cut
+    small = "# A\n" + "bir iki " * 10 + "\n\n# B\n" + "üç dört " * 10 + "\n\n# C\n" + "beş " * 10
+    q = list(splitting.split_text(small, t, [(80, 0)]))
+    assert len(q) > 1 and all(x[6] in ("section", "end") for x in q)
+
+
+def test_too_many_limits_are_an_error(spark):
+    lim = spark.range(1, 1100).selectExpr("'piece' AS limit_kind", "CAST(id AS int) AS max_tokens", "0 AS overlap_tokens")
+    with pytest.raises(ValueError):
+        splitting.split_texts(docs(spark), lim)
+
+
 def test_packing():
     rng = random.Random(5)
     sizes = [rng.randint(1, 400) for _ in range(300)]
