@@ -86,7 +86,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 #: Bytes of a lookup table, as text, up to which it is sent to every executor; beyond that the join shuffles.
-LOOKUP_BYTES = 32 * 2**20
+LOOKUP_BYTES = 16 * 2**20
 #: Bytes that a row of it takes besides its text.
 ROW_BYTES = 64
 

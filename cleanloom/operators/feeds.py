@@ -75,7 +75,7 @@ def cells(raw: Column, delimiter: Column) -> Column:
     pattern = F.concat(d, F.lit('("[^"]*+(?:""[^"]*+)*+(?:"'), not_d, F.lit("|\\z)|"), not_d, F.lit(")"))
     found = F.regexp_extract_all(F.concat(delimiter, raw), pattern, F.lit(1))
     quoted = F.transform(found, lambda c: F.when(c.startswith('"'), F.replace(F.regexp_replace(c, r'\A"|"\z', ""), F.lit('""'), F.lit('"'))).otherwise(c))
-    return F.when(F.contains(raw, F.lit('"')), quoted).otherwise(F.split(raw, d, -1))
+    return F.when(F.contains(raw, F.lit('"')), quoted).otherwise(F.split(raw, F.concat(F.lit("\\"), delimiter), -1))
 
 
 # --- patterns of a schema ---------------------------------------------------------------------------------------------
@@ -300,9 +300,10 @@ def type_bits(v: Column) -> Column:
     return F.when(v.rlike("[0-9]"), whole.when(v.rlike(f"\\A{VALUE['joined']}\\z"), BITS["date"]).otherwise(0)).when(F.lower(v).isin(*TRUE_FALSE), BITS["true/false"]).otherwise(0)
 
 
-def column_types(loaded: DataFrame) -> DataFrame:
-    """(file_id, pos, type): the least type of the lattice that holds every non-blank value of a column; null if there is none."""
-    c = loaded.select("file_id", F.posexplode("cells").alias("pos", "v")).select("file_id", "pos", strip(F.col("v")).alias("v")).where("v <> ''")
+def column_types(parsed: DataFrame) -> DataFrame:
+    """(file_id, pos, type): the least type of the lattice that holds every non-blank value of a column of loadable rows; null if there is none."""
+    c = parsed.where("reason_code IS NULL").select("file_id", F.posexplode(cells(F.col("raw_text"), F.col("delimiter"))).alias("pos", "v"))
+    c = c.select("file_id", "pos", strip(F.col("v")).alias("v")).where("v <> ''")
     # lines lie by file already, so this shrinks to a row for each file and column before anything moves
     g = c.groupBy("file_id", "pos").agg(F.bit_and(type_bits(F.col("v"))).alias("bits"))
     return g.select("file_id", "pos", F.coalesce(*(F.when(F.col("bits").bitwiseAND(b) > 0, n) for n, b in BITS.items()), F.lit(TYPES[-1])).alias("type"))
@@ -310,7 +311,7 @@ def column_types(loaded: DataFrame) -> DataFrame:
 
 def file_schemas(files: DataFrame, parsed: DataFrame) -> DataFrame:
     """(feed_name, file_id, covers_date, columns): columns in order, each with header, key, field and type. files: as for parsed_lines()."""
-    types = column_types(loaded_rows(parsed)).groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "type"))).alias("types"))
+    types = column_types(parsed).groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "type"))).alias("types"))
     f = files
     if "fields" not in files.columns:
         f = files.where("file_id IS NOT NULL AND headers IS NOT NULL").dropDuplicates(["file_id"]).join(parsed.groupBy("file_id").agg(F.first("fields").alias("fields")), "file_id", "left")
