@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -11,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cleanloom.functions.session import cut, lookup
-from cleanloom.functions.text import fold_py
-from cleanloom.llm.places import matchers, reference_entries, words
+from cleanloom.functions.text import fold
+from cleanloom.llm.places import matchers, reference_entries
 from cleanloom.llm.strings import corrections
 
 # Words that mark a part of a Turkish address, folded.
@@ -21,7 +20,7 @@ QUARTER = ("mahallesi", "mahalle", "mah", "mh")
 HOUSE = ("apartmani", "apartman", "apt", "ap")
 NUMBER = ("numara", "no", "n")
 INSIDE = ("kat", "k", "daire", "d")
-MARKERS = frozenset(STREET + QUARTER + HOUSE + NUMBER + INSIDE)
+_PART = {w: part for part, ws in (("street", STREET), ("quarter", QUARTER), ("house", HOUSE), ("number", NUMBER), ("inside", INSIDE)) for w in ws}
 
 #: Rarity, in natural logarithms of rows for each row with the word, that common words must reach together: one word of a quarter
 #: has it, the name of a house that stands in every town has not.
@@ -29,43 +28,69 @@ ENOUGH = 4.0
 #: A street may be taken for a slip of another one only if it is so many times rarer.
 DOMINANCE = 4
 
-_CLEAN = re.compile(r"[^a-z0-9/#-]+")
-_CODE = re.compile(r"\b\d{5}\b")
-_INSIDE = re.compile(rf"\b(?:{'|'.join(INSIDE)}) ?\d+\b")
-_MARKED = re.compile(rf"(?:\b(?:{'|'.join(NUMBER)})|#) ?(\d+)(?: ?[/-]? ?([a-z]))?\b")
-_BARE = re.compile(r"\b(\d+)(?: ?[/-]? ?([a-z]))?\b")
-_TOKEN = re.compile(r"[a-z]+|[^a-z ]+")
+def address_tokens(x: Column) -> Column:
+    """An address folded, as words, runs of digits and the marks / - #, one blank between."""
+    y = F.regexp_replace(fold(x), r"[^a-z0-9/#-]+", " ")
+    return F.trim(F.regexp_replace(y, r"([/#-])|(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])", " $1 "))
 
 
 def address_parts(address: str, places: frozenset[str]) -> tuple[str, str | None, str | None, str, str, str | None] | None:
-    """(number, street, quarter, house, others, postcode) of a folded address, None if it has no number.
+    """(number, street, quarter, house, others, postcode) of address_tokens() joined, None if there is no number.
 
-    number is the house number with its letter (``7b``), whatever its length; floor and flat are taken out first, and an unmarked number
-    of five digits is the postcode. street, quarter and house are the words before their marks. others are the remaining words
-    that are none of ``places``, with a + before those that stand in front of the name of a house.
+    number is the house number with its letter (``7b``), whatever its length: the first one with a mark, else the first one that is
+    neither floor nor flat nor, with five digits, the postcode. street, quarter and house are the words before their marks. others
+    are the remaining words that are none of ``places``, with a + before those that stand in front of the name of a house.
     """
-    y = _CLEAN.sub(" ", address)
-    code = _CODE.search(y)
-    y = _INSIDE.sub(" ", y)
-    m = _MARKED.search(y) or _BARE.search(y := _CODE.sub(" ", y))
-    if not m:
-        return None
-    tokens = _TOKEN.findall(f"{y[: m.start()]} | {y[m.end() :]}")
-    free = [t.isalpha() and t not in MARKERS for t in tokens]
-    found: dict[str, str] = {}
-    run: set[int] = set()
+    tokens = address.split()
+    last = len(tokens) - 1
+    number = bare = code = None
+    at = [_PART.get(t) or (t.isalpha() and "free") for t in tokens]
     for i, t in enumerate(tokens):
-        if i and free[i - 1] and t in MARKERS:
-            part = "quarter" if t in QUARTER else "house" if t in HOUSE else "street" if t in STREET else ""
-            if part and part not in found:
-                found[part] = tokens[i - 1]
-            if part:
-                free[i - 1] = False
-            if part == "house" and i > 1 and free[i - 2]:
-                run.add(i - 2)
-    pair = lambda i: i + 1 < len(tokens) and f"{tokens[i]} {tokens[i + 1]}" in places or i and f"{tokens[i - 1]} {tokens[i]}" in places
-    others = [("+" if i in run else "") + t for i, t in enumerate(tokens) if free[i] and len(t) > 1 and t not in places and not pair(i)]
-    return m[1] + (m[2] or ""), found.get("street"), found.get("quarter"), found.get("house", ""), " ".join(others), code and code[0]
+        if not t.isdigit():
+            continue
+        before = at[i - 1] if i else None
+        if before == "inside":
+            continue
+        marked = before == "number" or i and tokens[i - 1] == "#"
+        if len(t) == 5 and not marked:
+            code = code or t
+            continue
+        if number is not None or bare is not None and not marked:
+            continue
+        k = i + 2 if i < last and tokens[i + 1] in "/-" else i + 1
+        letter = ""
+        if k <= last and len(tokens[k]) == 1 and tokens[k].isalpha() and not (at[k] == "inside" and k < last and tokens[k + 1].isdigit()):
+            letter = tokens[k]
+        if marked:
+            number = t + letter, k if letter else -1
+        else:
+            bare = t + letter, k if letter else -1
+    if number is None and bare is None:
+        return None
+    number, used = number or bare
+    if used >= 0:
+        at[used] = "letter"
+    street = quarter = house = None
+    run = -1
+    for i in range(1, last + 1):
+        part = at[i]
+        if at[i - 1] != "free" or part not in ("street", "quarter", "house"):
+            continue
+        word = tokens[i - 1]
+        at[i - 1] = "used"
+        if part == "street":
+            street = street or word
+        elif part == "quarter":
+            quarter = quarter or word
+        elif house is None:
+            house, run = word, i - 2
+    others = [("+" if i == run else "") + t for i, t in enumerate(tokens) if at[i] == "free" and len(t) > 1 and t not in places and not _phrase(tokens, i, places)]
+    return number, street, quarter, house or "", " ".join(others), code
+
+
+def _phrase(tokens: list[str], i: int, places: frozenset[str]) -> bool:
+    """Whether a word is part of the name of a place of two words."""
+    return i + 1 < len(tokens) and f"{tokens[i]} {tokens[i + 1]}" in places or i > 0 and f"{tokens[i - 1]} {tokens[i]}" in places
 
 
 PARTS = ("number", "street", "quarter", "house", "others", "postcode", "city_id")
@@ -76,43 +101,45 @@ def read_addresses(records: DataFrame, reference: DataFrame, aliases: DataFrame,
     entries = reference_entries(reference, aliases)
     t = records.withColumns({f"_in_{k}": F.col(c).cast("string") for k, c in zip("acd", columns)})
     usable = F.col("_in_a").rlike(r"\p{Nd}") & F.col("_in_a").rlike(r"\p{L}{2}")
-    t = t.withColumn("_p", parts_udf(entries)("_in_c", "_in_d", F.when(usable, F.col("_in_a"))))
+    t = t.withColumn("_p", parts_udf(entries)("_in_c", "_in_d", F.when(usable, address_tokens(F.col("_in_a")))))
     return t.select(*records.columns, *(F.col(f"_p.{c}").alias(c) for c in PARTS))
 
 
 def parts_udf(entries: dict[str, list[tuple[int, str, int | None]]]) -> Callable[[Column, Column, Column], Column]:
     """(city, district, address) to the parts of the address and the city: of the city value, else the last one named in the address,
-    else that of a district of one city; each distinct text is read once in a while, not once a row."""
+    else that of a district of one city."""
 
     @F.pandas_udf("number string, street string, quarter string, house string, others string, postcode string, city_id int")
     def run(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         m = matchers(entries)
         city, district = m["city"], m["district"]
         places = frozenset(city.ids) | frozenset(district.ids)
-        read = lru_cache(20_000)(lambda a: address_parts(a, places))
+        typed = lru_cache(100_000)(city.resolve)
 
-        def of_district(keys: Iterable[str]) -> int:
+        def of_district(keys: Iterable[str]) -> int | None:
             for k in keys:
                 homes = {district.parent[i] for i in district.ids[k]} - {None}
                 if len(homes) == 1:
                     return homes.pop()
-            return 0
+            return None
 
         def home(c: str | None, d: str | None, a: str) -> int | None:
-            at = city.resolve(c)
+            at = typed(c)
             if at:
                 return at
-            text = words(a)
+            text = " ".join(t for t in a.split() if t.isalnum())
             last = city.mentions(text)[-1:]
-            return (city.ids[last[0]][0] if last else (d is not None and of_district(district.names(d))) or of_district(reversed(district.mentions(text)))) or None
+            return city.ids[last[0]][0] if last else (of_district(district.names(d)) if d is not None else None) or of_district(reversed(district.mentions(text)))
 
-        none = (None,) * len(PARTS)
         for cs, ds, aa in parts:
-            rows = []
-            for c, d, a in zip(cs, ds, aa):
-                p = read(fold_py(a)) if a is not None else None
-                rows.append(none if p is None else (*p, home(c, d, a)))
-            out = pd.DataFrame(rows, columns=list(PARTS), dtype=object)
+            columns: tuple[list, ...] = tuple([None] * len(aa) for _ in PARTS)
+            for i, (c, d, a) in enumerate(zip(cs, ds, aa)):
+                p = address_parts(a, places) if a is not None else None
+                if p is not None:
+                    for column, v in zip(columns, p):
+                        column[i] = v
+                    columns[-1][i] = home(c, d, a)
+            out = pd.DataFrame(dict(zip(PARTS, columns)), dtype=object)
             out["city_id"] = out["city_id"].astype("Int32")
             yield out
 

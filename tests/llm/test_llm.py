@@ -1,6 +1,7 @@
 import datetime
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,12 +55,13 @@ def test_map_places(spark, ref):
 
 def test_address_parts():
     places = frozenset({"kicile", "yusedotepe", "yeni sehir"})
-    of = lambda a: address_parts(fold_py(a), places)
+    tokens = lambda a: re.sub(r"([/#-])|(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])", lambda m: f" {m[1] or ''} ", re.sub(r"[^a-z0-9/#-]+", " ", fold_py(a)))
+    of = lambda a: address_parts(tokens(a), places)
     assert of("K.8 Daire 4, Fetuluk Mahalle, Nanofodüt Cad., NO:299/B, 64186") == ("299b", "nanofodut", "fetuluk", "", "", "64186")
     assert of("Pehezan Mahalle Yivüdüdam #40 Kicile/Yusedötepe") == ("40", None, "pehezan", "", "yivududam", None)
     assert of("Yivüdüdam Ak Köşk Apt 7 Yeni Şehir") == ("7", None, None, "kosk", "yivududam +ak", None)
     assert of("Nanofodüt Cad. No: 123456") == ("123456", "nanofodut", None, "", "", None)
-    assert of("Nanofodüt Cad. No: 12345")[0] == "12345" and of("") is None and of("x" * 100_000) is None and of("64186 Kicile") is None
+    assert of("Nanofodüt Cad. No: 12345")[0] == "12345" and of("No7 D3 Nanofodüt Sk")[0] == "7" and of("") is None and of("x" * 100_000) is None and of("64186 Kicile") is None
 
 
 def test_number_of_any_length(spark, ref):
