@@ -1,7 +1,7 @@
-"""Command line: profile, map, validate, normalize, golden, check and evaluate.
+"""Command line: profile, map, validate, normalize, golden, corrupt, check and evaluate.
 
 Exit codes: 0 fine; profile 1 and the others 2 for a file that can't be read; validate 1 if a record has errors; check 1 if the
-dataset fails; 3 for anything else.
+dataset fails; evaluate 1 if a gate, the dataset or a fixture fails, 2 if it can't run; 3 for anything else.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import functions as F
 
 from cleanloom.functions.session import local_session
-from cleanloom.operators import checks, evaluation, golden, mapping, normalization, profiling, quality, validation
+from cleanloom.operators import checks, golden, mapping, normalization, profiling, quality, validation
+from cleanloom.plans import dataset as datasets
+from cleanloom.plans import harness
 from cleanloom.plans.config import CANONICAL_FIELDS, IngestionConfig, MappingConfig, QualityConfig, load
 from cleanloom.sources import sinks
 from cleanloom.sources.files import IngestionError, ParsedDataset, parse_file
@@ -43,40 +45,43 @@ def main(argv: Sequence[str] | None = None) -> int:
     s = sub.add_parser("golden")
     s.add_argument("output")
     s.add_argument("--people", type=int, default=10_000)
+    s.add_argument("--hard", type=int, default=200)
+    s.add_argument("--layout", type=int, default=0, choices=range(len(golden.LAYOUTS)))
+    s.add_argument("--seed", type=int, default=42)
+    s = sub.add_parser("corrupt")
+    s.add_argument("input", help="CSV with source_record_id, source_name and the canonical fields")
+    s.add_argument("output")
+    s.add_argument("--profile", default="formatting_noise", choices=sorted(golden.PROFILES))
     s.add_argument("--seed", type=int, default=42)
     s = sub.add_parser("check")
     s.add_argument("dataset")
-    sub.add_parser("evaluate").add_argument("--fixtures", required=True)
+    s = sub.add_parser("evaluate")
+    s.add_argument("--dataset")
+    s.add_argument("--fixtures")
+    s.add_argument("--report-dir", default="reports")
     a = p.parse_args(argv)
     spark = local_session("cleanloom")
     try:
         if a.what == "golden":
-            people = golden.clean_people(spark, a.people, a.seed)
-            rec, log = golden.corrupt(golden.source_records(people, "source_a", "A"), a.seed + 1)
-
-            def build(out) -> None:
-                sinks.write_csv(people.drop("person_index"), str(out / "canonical"))
-                sinks.write_csv(rec, str(out / "source_a"), ["source_record_id", "source_name", *CANONICAL_FIELDS])
-                sinks.write_csv(golden.source_b(people, 0, a.seed).drop("person_id"), str(out / "source_b"))
-                sinks.write_csv(golden.source_c(people, a.seed), str(out / "source_c"), ["source_record_id", "source_name", *CANONICAL_FIELDS])
-                sinks.write_csv(golden.person_splits(people), str(out / "splits"))
-                sinks.write_jsonl(log, str(out / "corruptions"))
-                (out / "malformed").mkdir()
-                for n, b in golden.MALFORMED.items():
-                    (out / "malformed" / n).write_bytes(b)
-
-            sinks.publish(build, a.output)
+            datasets.build_dataset(spark, a.output, a.people, a.hard, a.seed, a.layout)
+            return 0
+        if a.what == "corrupt":
+            records = spark.read.option("header", True).csv(a.input).withColumn("_n", F.pmod(F.xxhash64("source_record_id"), F.lit(2**31)))
+            if "person_id" not in records.columns:
+                records = records.withColumn("person_id", F.lit(None).cast("string"))
+            bad, log = golden.corrupt(records, a.seed, a.profile, "_n")
+            sinks.write_csv(bad.drop("_n", "person_id"), f"{a.output}/records")
+            sinks.write_jsonl(log, f"{a.output}/corruptions")
             return 0
         if a.what == "check":
-            people = spark.read.option("header", True).csv(f"{a.dataset}/canonical")
-            found = checks.all_issues(checks.canonical_people(people, list(CANONICAL_FIELDS)), checks.split_leakage(spark.read.option("header", True).csv(f"{a.dataset}/splits")))
+            found = datasets.dataset_issues(spark, a.dataset)
             row = checks.passed(found).first()
-            print(json.dumps(row.asDict()))
+            print(json.dumps(row.asDict() | {"issues": sinks.report_rows(found)}, ensure_ascii=False))
             return 0 if row.passed else 1
         if a.what == "evaluate":
-            t = evaluation.ingestion_checks(spark, a.fixtures)
-            print(json.dumps(sinks.report_rows(t), ensure_ascii=False))
-            return 0 if t.where("NOT passed").count() == 0 else 1
+            code, report = harness.run_evaluation(spark, a.report_dir, a.dataset, a.fixtures)
+            print(json.dumps(report, ensure_ascii=False, default=str))
+            return code
         d = parse_file(spark, a.input, worksheet=a.worksheet)
         if a.what == "profile":
             sinks.write_report({"columns": sinks.report_rows(_profiled(d, IngestionConfig())), "accounting": sinks.report_rows(d.accounting())}, a.report_dir, "profile_report", True)

@@ -38,7 +38,7 @@ def split_leakage(splits: DataFrame, key: str = "person_id") -> DataFrame:
 
 
 def repeated(df: DataFrame, key: str, code: str) -> DataFrame:
-    """Values that occur more than once, null and empty ones aside; detail tells how many rows are too many."""
+    """Values that occur more than once, null and empty ones aside: one issue for each, detail telling how many rows are too many."""
     g = df.where(F.col(key).isNotNull() & (F.col(key) != "")).groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
     return _issue(g, code, F.col(key), (F.col("n") - 1).cast("string"))
 
@@ -84,12 +84,52 @@ def duplicate_group_checks(groups: DataFrame, mappings: DataFrame) -> DataFrame:
 
 
 def pair_checks(pairs: DataFrame) -> DataFrame:
-    """Hard negatives name two persons, positives one."""
+    """Hard negatives name two persons, all other pairs one."""
     same = F.col("person_id_a").eqNullSafe(F.col("person_id_b"))
-    subject = F.concat_ws("|", "person_id_a", "person_id_b")
-    return all_issues(
-        _issue(pairs.where((F.col("pair_type") == "hard_negative") & same), "invalid_hard_negative", subject), _issue(pairs.where((F.col("pair_type") == "positive") & ~same), "invalid_hard_positive", subject)
-    )
+    subject, negative = F.concat_ws("|", "person_id_a", "person_id_b"), F.coalesce(F.col("pair_type") == "hard_negative", F.lit(False))
+    return all_issues(_issue(pairs.where(negative & same), "invalid_hard_negative", subject), _issue(pairs.where(~negative & ~same), "invalid_hard_positive", subject))
+
+
+def hard_case_checks(records: DataFrame | None, mappings: DataFrame, pairs: DataFrame, kind: str) -> DataFrame:
+    """A table of hard cases (kind hard_positive or hard_negative; None if it is missing) against the mappings and the pairs of that kind.
+
+    Missing and repeated record ids, records without a person, a column that names persons, pairs whose records aren't in the
+    table and pairs of the wrong persons.
+    """
+    if records is None:
+        return _issue(mappings.sparkSession.createDataFrame([(kind,)], "k string"), "missing_hard_cases_csv", F.col("k"))
+    mine, ids = pairs.where(F.col("pair_type") == kind), records.select(F.col("source_record_id").cast("string"))
+    named = mine.select(F.explode(F.array("source_record_id_a", "source_record_id_b")).alias("source_record_id")).distinct()
+    owned = mappings.select("source_record_id").distinct()
+    told = records.where(F.length("person_id") > 0).select(F.lit(kind).alias("k")).limit(1) if "person_id" in records.columns else None
+    found = [
+        _issue(ids.where("source_record_id IS NULL OR source_record_id = ''"), "missing_source_record_id", F.lit(kind)),
+        repeated(ids, "source_record_id", "duplicate_source_record_id"),
+        _issue(ids.where("source_record_id <> ''").distinct().join(owned, "source_record_id", "left_anti"), "unmapped_hard_case_record", F.col("source_record_id")),
+        _issue(named.join(ids.distinct(), "source_record_id", "left_anti"), f"missing_{kind}_record", F.col("source_record_id")),
+        pair_checks(mine),
+    ]
+    return all_issues(*found, *([_issue(told, "ground_truth_leakage", F.col("k"), "the table names persons")] if told is not None else []))
+
+
+def record_shape(df: DataFrame, fields: list[str]) -> DataFrame:
+    """invalid_schema: columns that a canonical table lacks, and person ids that aren't texts beginning with P-."""
+    lost = df.sparkSession.createDataFrame([(f,) for f in ["person_id", *fields] if f not in df.columns], "f string")
+    out = [_issue(lost, "invalid_schema", F.col("f"), "column is missing")]
+    if "person_id" in df.columns:
+        out.append(_issue(df.where(~F.coalesce(F.col("person_id").cast("string").startswith("P-"), F.lit(False))), "invalid_schema", F.coalesce(F.col("person_id").cast("string"), F.lit("")), "no person id"))
+    return all_issues(*out)
+
+
+def expected_counts(listed: DataFrame, summed: DataFrame) -> DataFrame:
+    """Both (name, n): counts of the manifest and of the ground truth that both have and that differ; counts of records are left out."""
+    j = listed.where("NOT endswith(name, '_records') OR name = 'corruption_events'").join(summed.select("name", F.col("n").alias("m")), "name")
+    return _issue(j.where("n <> m"), "count_mismatch", F.col("name"), F.concat_ws(" ", "n", F.lit("not"), "m"))
+
+
+def missing_parts(spark, present: dict[str, bool]) -> DataFrame:
+    """Codes such as missing_manifest or missing_ground_truth of what isn't there."""
+    return _issue(spark.createDataFrame([(k,) for k, there in present.items() if not there], "k string"), "missing", F.col("k")).withColumn("code", F.concat(F.lit("missing_"), F.col("subject")))
 
 
 def referenced(rows: DataFrame, key: str, to: DataFrame, to_key: str, code: str) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cleanloom.operators.mapping import AUTO_MAP, REVIEW, ColumnFacts, failure_kind, plan_columns
+from cleanloom.functions.text import strip
+from cleanloom.operators.mapping import AUTO_MAP, REVIEW, UNMAPPED, ColumnFacts, MappingPlan, build_mapping_plan, failure_kind, label_outcome, plan_columns
 from cleanloom.operators.normalization import normalize_fields
-from cleanloom.operators.profiling import column_profiles
-from cleanloom.operators.validation import issues
+from cleanloom.operators.profiling import value_profiles
+from cleanloom.operators.validation import issues, rules
+from cleanloom.plans.benchmarks import MALFORMED_EXPECTED, MAPPING_CASES, VALIDATION_CASES
 from cleanloom.plans.config import CANONICAL_FIELDS, MappingConfig, QualityConfig
 
 
@@ -42,12 +44,23 @@ def hard_gates(metrics: DataFrame, gates: dict[str, tuple[str, float]] | None =
     return out.select("metric", "value", "operator", "threshold", ok.alias("passed"))
 
 
+def validation_cases(spark: SparkSession, cases: Sequence[tuple[str, bool, dict[str, str | None]]] = VALIDATION_CASES) -> DataFrame:
+    """(case_id, target_rule, should_fire and the canonical fields)."""
+    schema = "case_id int, target_rule string, should_fire boolean, " + ", ".join(f"{f} string" for f in CANONICAL_FIELDS)
+    return spark.createDataFrame([(i, rule, fire, *(r.get(f) for f in CANONICAL_FIELDS)) for i, (rule, fire, r) in enumerate(cases, 1)], schema)
+
+
 def validation_benchmark(cases: DataFrame, config: QualityConfig | None = None) -> DataFrame:
-    """cases: case_id, target_rule, should_fire and the canonical fields. One row for each case: outcome TP, FP, FN or TN and failure_kind."""
-    found = issues(cases.withColumn("row_number", F.col("case_id")), config).select(F.col("row_number").alias("case_id"), F.col("rule_id").alias("target_rule")).distinct().withColumn("fired", F.lit(True))
+    """cases: see validation_cases(). One row for each case: outcome TP, FP, FN, TN or ERROR and failure_kind.
+
+    A case whose rule doesn't exist or is disabled can't be decided: RULE_ERROR.
+    """
+    c = (config or QualityConfig()).check()
+    found = issues(cases.withColumn("row_number", F.col("case_id")), c).select(F.col("row_number").alias("case_id"), F.col("rule_id").alias("target_rule")).distinct().withColumn("fired", F.lit(True))
     j = cases.select("case_id", "target_rule", "should_fire").join(found, ["case_id", "target_rule"], "left").withColumn("fired", F.coalesce("fired", F.lit(False)))
-    outcome = F.when(F.col("should_fire") & F.col("fired"), "TP").when(F.col("should_fire"), "FN").when(F.col("fired"), "FP").otherwise("TN")
-    failure = F.when(F.col("outcome") == "FN", "FALSE_NEGATIVE").when(F.col("outcome") == "FP", "FALSE_POSITIVE")
+    known = F.col("target_rule").isin(*(r.id for r in rules() if r.id not in c.disabled))
+    outcome = F.when(~F.coalesce(known, F.lit(False)), "ERROR").when(F.col("should_fire") & F.col("fired"), "TP").when(F.col("should_fire"), "FN").when(F.col("fired"), "FP").otherwise("TN")
+    failure = F.when(F.col("outcome") == "FN", "FALSE_NEGATIVE").when(F.col("outcome") == "FP", "FALSE_POSITIVE").when(F.col("outcome") == "ERROR", "RULE_ERROR")
     return j.withColumn("outcome", outcome).withColumn("failure_kind", failure)
 
 
@@ -85,48 +98,65 @@ def normalization_accuracy(results: DataFrame) -> DataFrame:
     return results.agg(n.alias("expected"), c.alias("correct"), F.count_if(F.col("outcome") == "skipped").alias("skipped"), safe_divide(c, n).alias("accuracy"))
 
 
-def mapping_benchmark(spark: SparkSession, cases: Sequence[dict], config: MappingConfig | None = None) -> DataFrame:
-    """cases: {case_id, headers, rows, expected: {header: (decision, field)}}: one row for each labelled column."""
+_LABELLED = "case_id string, source_column string, expected_decision string, expected_field string, decision string, canonical_field string, score double, outcome string, failure_kind string"
+
+
+def _labelled(case_id: str, plan: MappingPlan, expected: Mapping[str, tuple[str, str | None]]) -> list[tuple]:
+    got = {m.source_column: m for m in plan.columns}
     out = []
-    for case in cases:
-        headers, rows = case["headers"], case["rows"]
-        filled = [[i, *r, *[None] * (len(headers) - len(r))] for i, r in enumerate(rows, 2)]
-        if filled:
-            schema = "`__n` int, " + ", ".join(f"`{h}` string" for h in headers)
-            facts = {r.name: ColumnFacts.of(r) for r in column_profiles(spark.createDataFrame(filled, schema), ["__n"], columns=headers).collect()}
+    for column, (decision, field) in expected.items():
+        m = got.get(column)
+        if m is None:
+            out.append((case_id, column, decision, field, None, None, None, "missed", "MISSED_MAPPING"))
         else:
-            facts = {}
-        for m in plan_columns(headers, facts, config).columns:
-            if m.source_column in case["expected"]:
-                decision, target = case["expected"][m.source_column]
-                fine = target is None or m.canonical_field == target
-                out.append((case["case_id"], m.source_column, decision, target, m.decision, m.canonical_field, float(m.score), decision == m.decision and (fine or decision != AUTO_MAP), failure_kind(decision, m.decision, fine)))
-    return spark.createDataFrame(out, "case_id string, source_column string, expected_decision string, expected_field string, decision string, canonical_field string, score double, correct boolean, failure_kind string")
+            out.append((case_id, column, decision, field, m.decision, m.canonical_field, float(m.score), label_outcome(decision, field, m.decision, m.canonical_field), failure_kind(decision, field, m.decision, m.canonical_field)))
+    return out
+
+
+def mapping_benchmark(spark: SparkSession, cases: Sequence[dict] = MAPPING_CASES, config: MappingConfig | None = None) -> DataFrame:
+    """cases: {case_id, headers, rows, expected: {header: (decision, field)}}: one row for each labelled column.
+
+    The columns of all cases are profiled in one pass, each under a name of its own.
+    """
+    name = lambda case, k: f"{case}#{k}"
+    values = [(name(i, k), k, n, r[k] if k < len(r) else None) for i, c in enumerate(cases) for n, r in enumerate(c["rows"], 2) for k in range(len(c["headers"]))]
+    names = [name(i, k) for i, c in enumerate(cases) for k in range(len(c["headers"]))]
+    v = spark.createDataFrame(values, "name string, pos int, n int, v string").withColumn("o", F.struct("n")).withColumn("s", strip(F.col("v")))
+    facts = {r.name: ColumnFacts.of(r) for r in value_profiles(v.select("name", "pos", "o", "v", "s"), names).collect()}
+    out = []
+    for i, c in enumerate(cases):
+        have = {h: facts[name(i, k)] for k, h in enumerate(c["headers"])} if c["rows"] else {}
+        out += _labelled(c["case_id"], plan_columns(c["headers"], have, config), c["expected"])
+    return spark.createDataFrame(out, _LABELLED)
+
+
+def layout_benchmark(spark: SparkSession, profiles: Sequence[DataFrame], labels: Sequence[Sequence[tuple[str, str | None, str]]], config: MappingConfig | None = None) -> DataFrame:
+    """Profiles of delivered layouts and for each the (column, field, decision) of its columns: one row for each column, as mapping_benchmark()."""
+    out = []
+    for n, (p, want) in enumerate(zip(profiles, labels)):
+        out += _labelled(f"layout_{n}", build_mapping_plan(p, config), {column: (decision, field) for column, field, decision in want})
+    return spark.createDataFrame(out, _LABELLED)
 
 
 def mapping_metrics(results: DataFrame) -> DataFrame:
-    """accuracy, auto_map_precision, review_recall over labelled columns."""
-    n, ok = F.count("*"), F.count_if("correct")
-    auto = F.col("decision") == AUTO_MAP
-    review = F.col("expected_decision") == REVIEW
-    return results.agg(
-        n.alias("columns"), safe_divide(ok, n).alias("accuracy"), safe_divide(F.count_if(auto & F.col("correct")), F.count_if(auto)).alias("auto_map_precision"),
-        safe_divide(F.count_if(review & F.col("correct")), F.count_if(review)).alias("review_recall"), F.count_distinct("case_id").alias("cases"),
-    )
-
-
-# What each malformed fixture must give: (accepted, rejected, reason) or a fatal code.
-MALFORMED_EXPECTED = {
-    "empty_file.csv": "empty_file",
-    "header_only.csv": (0, 0, None),
-    "duplicate_header.csv": "duplicate_header",
-    "missing_column_row.csv": (0, 1, "inconsistent_column_count"),
-    "extra_column_row.csv": (0, 1, "inconsistent_column_count"),
-    "broken_quotes.csv": (0, 1, "unclosed_quote"),
-    "semicolon_delimiter.csv": (1, 0, None),
-    "utf8_turkish.csv": (1, 0, None),
-    "latin5_turkish.csv": (1, 0, None),
-}
+    """One row of counts and shares over labelled columns; a share of nothing is 1."""
+    of = lambda column, value: F.col(column) == value
+    right = of("outcome", "correct")
+    auto, labelled_auto = of("decision", AUTO_MAP), of("expected_decision", AUTO_MAP)
+    counts = {
+        "cases": F.count_distinct("case_id"), "columns": F.count("*"), "correct": F.count_if(right), "incorrect": F.count_if(of("outcome", "incorrect")), "missed": F.count_if(of("outcome", "missed")),
+        "auto_map_total": F.count_if(auto & labelled_auto), "auto_map_correct": F.count_if(auto & labelled_auto & right),
+        "expected_review": F.count_if(of("expected_decision", REVIEW)), "correct_review": F.count_if(of("expected_decision", REVIEW) & right),
+        "expected_unmapped": F.count_if(of("expected_decision", UNMAPPED)), "correct_unmapped": F.count_if(of("expected_decision", UNMAPPED) & right),
+    }
+    share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), b if isinstance(b, Column) else F.col(b)), F.lit(1.0))
+    t = results.agg(*(v.alias(k) for k, v in counts.items()))
+    t = t.withColumns({
+        "precision": share("correct", F.col("correct") + F.col("incorrect")), "recall": share("correct", F.col("correct") + F.col("missed")), "accuracy": share("correct", "columns"),
+        "auto_map_precision": share("auto_map_correct", "auto_map_total"), "review_recall": share("correct_review", "expected_review"),
+    })
+    f1 = safe_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
+    return t.withColumn("f1", f1).withColumn("passed", (F.col("incorrect") == 0) & (F.col("missed") == 0))
 
 
 def ingestion_checks(spark: SparkSession, directory: str) -> DataFrame:
@@ -145,9 +175,3 @@ def ingestion_checks(spark: SparkSession, directory: str) -> DataFrame:
             got = e.code
         out.append((name, str(want), str(got), got == want))
     return spark.createDataFrame(out, "file string, expected string, got string, passed boolean")
-
-
-def valid_record(**change: str | None) -> dict[str, str | None]:
-    """A record that no rule objects to, with some values changed."""
-    base = dict(zip(CANONICAL_FIELDS, ("Ali", "Yılmaz", "ali@example.com", "+905321234567", "Acme A.Ş.", "İstanbul", "Kadıköy", "Bağdat Caddesi No:1")))
-    return base | change

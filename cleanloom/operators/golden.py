@@ -7,7 +7,7 @@ which rows are made. The same seed gives the same data; bits of other generators
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from itertools import combinations
 from operator import and_, or_
@@ -19,17 +19,43 @@ from cleanloom.functions.session import cut
 from cleanloom.functions.text import title
 from cleanloom.plans.config import CANONICAL_FIELDS, CITY_DISTRICTS
 
-# The vocabulary of the generator.
-FIRST_NAMES = ("Ahmet", "Mehmet", "Ayşe", "Fatma", "Emre", "Elif", "Can", "Deniz", "Zeynep", "Burak", "Selin", "Oğuz", "Merve", "Kerem", "Ece", "Ali", "Hakan", "Gül", "Cem", "Derya")
-LAST_NAMES = ("Yılmaz", "Kaya", "Demir", "Çelik", "Şahin", "Aydın", "Öztürk", "Arslan", "Koç", "Polat", "Güneş", "Aksoy", "Erdoğan", "Kurt", "Aslan", "Yıldız", "Doğan", "Özkan", "Tekin", "Karaca")
-COMPANY_STEMS = ("Anadolu", "Marmara", "Ege", "Boğaziçi", "Atlas", "Nova", "Delta", "Zenith", "Pera", "Vega")
-COMPANY_LINES = ("Teknoloji", "Danışmanlık", "Lojistik", "İnşaat", "Perakende", "Yazılım", "Enerji", "Sağlık", "Finans", "Ticaret")
-STREETS = ("Atatürk", "Cumhuriyet", "İstiklal", "Barbaros", "Bağdat", "Moda", "Gazi", "Fatih", "Sanayi", "Park")
-MAIL_DOMAINS = ("example-mail.test", "demo-corp.test", "sample-org.test", "benchmark.test")
-# Letters that corruption swaps, and Turkish letters with their plain ones.
-TYPO_FROM, TYPO_TO = "aeioumnrl", "eaeuonmlr"
+# The vocabulary of the generator, made for it: any other would do.
+FIRST_NAMES = ("Aylin", "Baran", "Ceren", "Doruk", "Esra", "Ferit", "Gamze", "Haluk", "Irmak", "Jale", "Kaan", "Leyla", "Murat", "Nehir", "Orhun", "Pınar", "Rıza", "Sevgi", "Şermin", "Tolga", "Umut", "Vildan", "Yasin", "Zerrin")
+LAST_NAMES = ("Akıncı", "Bulut", "Ceylan", "Çınar", "Duman", "Ekinci", "Fidan", "Gürbüz", "Işık", "Keskin", "Lale", "Mutlu", "Narin", "Ordulu", "Pehlivan", "Sezer", "Şentürk", "Toprak", "Uçar", "Varol", "Yalçın", "Zengin")
+COMPANY_STEMS = ("Akasya", "Bozkır", "Çağlayan", "Doğu Rüzgarı", "Fırat", "Göktaş", "İnci", "Kardelen", "Meltem", "Poyraz", "Sarnıç", "Yakamoz")
+COMPANY_LINES = ("Ambalaj", "Boya", "Cam", "Dokuma", "Elektrik", "Fide", "Gıda", "Hırdavat", "İplik", "Kağıt", "Mermer", "Otomotiv", "Seramik")
+STREETS = ("Akçaağaç", "Badem", "Çamlık", "Değirmen", "Erguvan", "Gül", "Ihlamur", "Kestane", "Menekşe", "Nergis", "Pınarbaşı", "Söğütlü", "Üçler", "Yasemin")
+MAIL_DOMAINS = ("posta.test", "isyeri.test", "kutu.test", "yazisma.test", "ornek.test")
+#: Rows of a Turkish keyboard: a slip hits the key to the right, at the end of a row the one to the left.
+KEYS = ("qwertyuıopğü", "asdfghjklşi", "zxcvbnmöç", "1234567890")
+TYPO_FROM = "".join(KEYS)
+TYPO_TO = "".join(row[1:] + row[-2] for row in KEYS)
+# Turkish letters with their plain ones, and the operators by name.
 TURKISH, PLAIN = "ıİğĞüÜşŞöÖçÇ", "iIgGuUsSoOcC"
 OPERATORS = ("case_change", "unicode_turkish", "whitespace", "punctuation", "typo", "abbreviation", "phone_format", "email_corruption", "missing_value", "field_conflict")
+# Profiles of noise: the chance of each field and the weight of each operator in percent, and the most of a record.
+PROFILES = {
+    "formatting_noise": {
+        "rates": {"first_name": 35, "last_name": 35, "email": 20, "phone": 45, "company": 40, "city": 25, "district": 25, "address": 30},
+        "weights": {"case_change": 20, "unicode_turkish": 15, "whitespace": 20, "punctuation": 10, "phone_format": 20, "abbreviation": 15},
+        "most": 3,
+    },
+    "semantic_noise": {
+        "rates": {"first_name": 25, "last_name": 25, "email": 30, "phone": 20, "company": 25, "city": 15, "district": 15, "address": 20},
+        "weights": {"typo": 25, "email_corruption": 15, "missing_value": 10, "field_conflict": 15, "duplicate": 20, "case_change": 5, "whitespace": 5, "unicode_turkish": 5},
+        "most": 4,
+    },
+    "hard_positive": {
+        "rates": {"first_name": 70, "last_name": 70, "email": 60, "phone": 65, "company": 55, "city": 50, "district": 50, "address": 60},
+        "weights": {"typo": 20, "missing_value": 20, "case_change": 15, "unicode_turkish": 15, "whitespace": 10, "phone_format": 10, "email_corruption": 10},
+        "most": 5,
+    },
+}
+# How grave each kind of corruption is.
+SEVERITY = {
+    "case_change": "low", "unicode_turkish": "low", "whitespace": "low", "punctuation": "low", "typo": "medium", "abbreviation": "low",
+    "phone_format": "low", "email_corruption": "medium", "missing_value": "medium", "column_rename": "low", "duplicate": "high", "field_conflict": "high",
+}
 
 #: Modulus and multiplier of the draw; products stay within 64 bits.
 _M, _A = 2_147_483_647, 48_271
@@ -78,61 +104,95 @@ def weighted(d: Column, weights: dict[str, int]) -> Column:
     return out
 
 
+def nth(d: Column, *choices: Column) -> Column:
+    """The choice that the draw falls on."""
+    out = F.when(d % len(choices) == 0, choices[0])
+    for k, c in enumerate(choices[1:], 1):
+        out = out.when(d % len(choices) == k, c)
+    return out
+
+
+def scattered(v: Column, d: Column, percent: int, change: Callable[[Column], Column]) -> Column:
+    """The value with each letter changed by the given chance, settled by the draw and the place of the letter."""
+    letters = F.transform(F.split(v, ""), lambda c, i: F.when(((d + i * 7919) * _A) % _M % 100 < percent, change(c)).otherwise(c))
+    return F.array_join(letters, "")
+
+
 def corrupted(kind: Column, field: Column, v: Column, d: Column) -> Column:
     """The value after one operator; an operator that has nothing to work on leaves it."""
-    at = (d % F.greatest(F.length(v), F.lit(1)) + 1).cast("int")
+    e = (d * _A + 1) % _M  # a second draw, for operators that choose twice
+    at = (e % F.greatest(F.length(v), F.lit(1)) + 1).cast("int")
     letter = F.substring(v, at, F.lit(1))
-    typo = F.concat(F.substring(v, F.lit(1), at - 1), F.translate(letter, TYPO_FROM, TYPO_TO), F.substring(v, at + 1, F.length(v)))
-    words = F.split(v, " ")
-    short = F.when(F.size(words) > 1, F.concat(F.substring(words[0], 1, 1), F.lit(". "), F.array_join(F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(1))), " "))).otherwise(v)
-    phone = F.when(d % 3 == 0, F.concat(F.lit("0"), F.substring(v, 4, 20))).when(d % 3 == 1, F.substring(v, 2, 20)).otherwise(F.concat(F.lit("0 "), F.substring(v, 4, 3), F.lit(" "), F.substring(v, 7, 20)))
+    slip = F.translate(F.when(letter == "I", "ı").when(letter == "İ", "i").otherwise(F.lower(letter)), TYPO_FROM, TYPO_TO)
+    typo = F.concat(F.substring(v, F.lit(1), at - 1), slip, F.substring(v, at + 1, F.length(v)))
+    words = F.split(F.trim(v), " +")
+    short = F.when(F.size(words) > 1, F.array_join(F.transform(words, lambda w, i: F.when(i == e % F.size(words), F.concat(F.substring(w, 1, 3), F.lit("."))).otherwise(w)), " ")).otherwise(v)
+    local = F.right(F.regexp_replace(v, r"\P{Nd}", ""), F.lit(10))
+    block = lambda start, n: F.substring(local, start, n)
+    phone = F.when(F.length(local) == 10, nth(
+        d, F.concat_ws(" ", F.lit("0"), block(1, 3), block(4, 3), block(7, 4)), F.concat_ws(".", block(1, 3), block(4, 3), block(7, 4)), F.concat(F.lit("(0"), block(1, 3), F.lit(") "), block(4, 7)),
+        F.concat(F.lit("90"), local), F.concat(F.lit("0"), local), F.concat_ws(" ", F.lit("+90"), block(1, 3), block(4, 7)),
+    )).otherwise(v)
+    name, domain = F.substring_index(v, "@", 1), F.substring_index(v, "@", -1)
+    mail = F.when(F.contains(v, F.lit("@")), nth(d, F.concat(name, F.lit("@@"), domain), F.concat(name, domain), F.concat(F.replace(name, F.lit("."), F.lit("-")), F.lit("@"), domain), F.concat(name, F.lit("@"), F.substring_index(domain, ".", 1)))).otherwise(v)
     return (
-        F.when(kind == "case_change", F.when(d % 3 == 0, F.upper(v)).when(d % 3 == 1, F.lower(v)).otherwise(title(v)))
-        .when(kind == "unicode_turkish", F.translate(v, TURKISH, PLAIN))
-        .when(kind == "whitespace", F.concat(F.lit("  "), v, F.lit(" ")))
-        .when(kind == "punctuation", F.replace(v, F.lit("."), F.lit("")))
+        F.when(kind == "case_change", nth(d, F.upper(v), F.lower(v), title(v), scattered(v, e, 50, lambda c: F.when(F.upper(c) == c, F.lower(c)).otherwise(F.upper(c)))))
+        .when(kind == "unicode_turkish", nth(d, F.translate(v, TURKISH, PLAIN), scattered(v, e, 30, lambda c: F.translate(c, TURKISH, PLAIN)), scattered(v, e, 20, lambda c: F.translate(c, PLAIN, TURKISH))))
+        .when(kind == "whitespace", nth(d, F.regexp_replace(F.trim(v), " +", "  "), F.concat(F.lit("  "), F.trim(v), F.lit("  "))))
+        .when(kind == "punctuation", nth(d, F.replace(v, F.lit(" "), F.lit("-")), F.replace(v, F.lit("."), F.lit(",")), F.replace(v, F.lit("."), F.lit(""))))
         .when(kind == "typo", typo)
         .when(kind == "abbreviation", short)
         .when((kind == "phone_format") & (field == "phone"), phone)
-        .when((kind == "email_corruption") & (field == "email"), F.when(d % 2 == 0, F.replace(v, F.lit("@"), F.lit("@@"))).otherwise(F.replace(v, F.lit("@"), F.lit(""))))
+        .when((kind == "email_corruption") & (field == "email"), mail)
         .when(kind == "missing_value", F.lit(None).cast("string"))
-        .when(kind == "field_conflict", F.concat(v, F.lit(" X")))
+        .when(kind == "field_conflict", nth(d, F.concat(v, F.lit(" Holding")), F.replace(v, F.lit("A.Ş."), F.lit("Ltd. Şti.")), F.concat(v, F.lit(" (devir)"))))
         .otherwise(v)
     )
 
 
-DEFAULT_WEIGHTS = {k: 10 for k in OPERATORS}
+_EVENT = ("corruption_type", "field_name", "before_value", "after_value", "severity", "person_id", "source_record_id", "source_name")
 
 
-def corrupt(records: DataFrame, seed: int, percent: int = 30, most: int = 3, weights: dict[str, int] | None = None, index: str = "person_index", key: str = "source_record_id", source: str = "source_name") -> tuple[DataFrame, DataFrame]:
-    """(records, events): each field is corrupted with the given chance, at most so many of a record, the ones with the smallest draws.
+def corrupt(records: DataFrame, seed: int, profile: str = "formatting_noise", index: str = "person_index", drop_percent: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(records, events): each field is corrupted with its chance in the profile, at most so many of a record, the ones with the smallest draws.
 
-    An event is (corruption_type, field_name, before_value, after_value, severity, person_id, source_record_id, source_name); a
-    field that was null or didn't change gives none.
+    ``drop_percent``: after that, each field is emptied with this chance, which is an event of its own. An event is
+    (corruption_type, field_name, before_value, after_value, severity, person_id, source_record_id, source_name); a field that was
+    null or didn't change gives none.
     """
-    i = F.col(index)
-    hit = [F.when(draw(seed, i, k, 1) % 100 < percent, F.struct(draw(seed, i, k, 2).alias("d"), F.lit(f).alias("f"))) for k, f in enumerate(CANONICAL_FIELDS)]
-    chosen = F.transform(F.slice(F.array_sort(F.filter(F.array(*hit), lambda x: x.isNotNull())), 1, most), lambda x: x["f"])
+    p, i = PROFILES[profile], F.col(index)
+    hit = [F.when(draw(seed, i, k, 1) % 100 < p["rates"].get(f, 0), F.struct(draw(seed, i, k, 2).alias("d"), F.lit(f).alias("f"))) for k, f in enumerate(CANONICAL_FIELDS)]
+    chosen = F.transform(F.slice(F.array_sort(F.filter(F.array(*hit), lambda x: x.isNotNull())), 1, p["most"]), lambda x: x["f"])
     t = records.withColumn("_hit", chosen)
     # draws are columns of their own: every use of one would otherwise repeat its arithmetic
-    t = t.withColumns({f"_d3_{f}": draw(seed, i, k, 3) for k, f in enumerate(CANONICAL_FIELDS)} | {f"_d4_{f}": draw(seed, i, k, 4) for k, f in enumerate(CANONICAL_FIELDS)})
-    t = t.withColumns({f"_k_{f}": weighted(F.col(f"_d3_{f}"), weights or DEFAULT_WEIGHTS) for f in CANONICAL_FIELDS})
+    t = t.withColumns({f"_d{n}_{f}": draw(seed, i, k, n) for n in (3, 4, 5) for k, f in enumerate(CANONICAL_FIELDS)})
+    t = t.withColumns({f"_k_{f}": weighted(F.col(f"_d3_{f}"), p["weights"]) for f in CANONICAL_FIELDS})
     events = []
+    note = lambda kind, f, before, after: F.struct(kind.alias("corruption_type"), F.lit(f).alias("field_name"), before.alias("before_value"), after.alias("after_value"))
     for f in CANONICAL_FIELDS:
-        v = F.col(f)
-        after = F.when(F.array_contains("_hit", f) & v.isNotNull(), corrupted(F.col(f"_k_{f}"), F.lit(f), v, F.col(f"_d4_{f}"))).otherwise(v)
-        t = t.withColumn(f"_a_{f}", after)
-        events.append(F.when(v.isNotNull() & ~F.col(f"_a_{f}").eqNullSafe(v), F.struct(F.col(f"_k_{f}").alias("corruption_type"), F.lit(f).alias("field_name"), v.alias("before_value"), F.col(f"_a_{f}").alias("after_value"))))
+        v, after = F.col(f), F.col(f"_a_{f}")
+        t = t.withColumn(f"_a_{f}", F.when(F.array_contains("_hit", f) & v.isNotNull(), corrupted(F.col(f"_k_{f}"), F.lit(f), v, F.col(f"_d4_{f}"))).otherwise(v))
+        events.append(F.when(v.isNotNull() & ~after.eqNullSafe(v), note(F.col(f"_k_{f}"), f, v, after)))
+        if drop_percent:
+            gone = F.col(f"_d5_{f}") % 100 < drop_percent
+            events.append(F.when(v.isNotNull() & gone, note(F.lit("missing_value"), f, v, F.lit(None).cast("string"))))
+            t = t.withColumn(f"_a_{f}", F.when(~gone, after))
+            events[-2], events[-1] = F.when(~gone, events[-2]), events[-1]
     t = t.withColumn("_e", F.filter(F.array(*events), lambda x: x.isNotNull()))
     # inline_outer, as an inner one would infer a filter that repeats every operator below it
-    log = t.select("person_id", key, source, F.inline_outer("_e")).where("corruption_type IS NOT NULL").withColumn("severity", F.when(F.col("corruption_type").isin("missing_value", "email_corruption", "field_conflict"), "high").when(F.col("corruption_type") == "typo", "medium").otherwise("low"))
+    grave = F.coalesce(*(F.when(F.col("corruption_type") == k, v) for k, v in SEVERITY.items()), F.lit("medium"))
+    log = t.select("person_id", "source_record_id", "source_name", F.inline_outer("_e")).where("corruption_type IS NOT NULL").withColumn("severity", grave)
     keep = [c for c in records.columns if c not in CANONICAL_FIELDS]
-    return t.select(*keep, *(F.col(f"_a_{f}").alias(f) for f in CANONICAL_FIELDS)), log.select("corruption_type", "field_name", "before_value", "after_value", "severity", "person_id", key, source)
+    return t.select(*keep, *(F.col(f"_a_{f}").alias(f) for f in CANONICAL_FIELDS)), log.select(*_EVENT)
+
+
+def padded(i: Column, width: int = 6) -> Column:
+    s = i.cast("string")
+    return F.lpad(s, F.greatest(F.lit(width), F.length(s)), F.lit("0"))
 
 
 def source_records(people: DataFrame, name: str, prefix: str) -> DataFrame:
-    i = F.col("person_index").cast("string")
-    return people.select(F.concat(F.lit(f"{prefix}-"), F.lpad(i, F.greatest(F.lit(6), F.length(i)), F.lit("0"))).alias("source_record_id"), F.lit(name).alias("source_name"), "person_index", "person_id", *CANONICAL_FIELDS)
+    return people.select(F.concat(F.lit(f"{prefix}-"), padded(F.col("person_index"))).alias("source_record_id"), F.lit(name).alias("source_name"), "person_index", "person_id", *CANONICAL_FIELDS)
 
 
 # The three column layouts of source B, canonical field to header.
@@ -153,13 +213,42 @@ def source_b(people: DataFrame, layout: int, seed: int = 42, missing_percent: in
     return t.select("source_record_id", "source_name", "person_id", *cols, *extra)
 
 
-def source_c(people: DataFrame, seed: int = 42, duplicate_percent: int = 8) -> DataFrame:
-    """Source C: every person once, some once more; copy tells which, and ids run over both."""
-    i = F.col("person_index")
-    copies = F.sequence(F.lit(0), F.when(draw(seed, i, 20) % 100 < duplicate_percent, 1).otherwise(0))
-    t = people.select("*", F.explode(copies).alias("copy"))
-    serial = (F.col("person_index") * 2 + F.col("copy")).cast("string")
-    return t.select(F.concat(F.lit("C-"), F.lpad(serial, F.greatest(F.lit(7), F.length(serial)), F.lit("0"))).alias("source_record_id"), F.lit("source_c").alias("source_name"), "person_index", "person_id", "copy", *CANONICAL_FIELDS)
+def layout_mapping(layout: int) -> list[tuple[str, str | None, str]]:
+    """(column, canonical field or null, decision) of each column of a layout: what a mapper should find."""
+    extra = ["import_batch", "notes"] if layout == 1 else ["legacy_code"]
+    return [("source_record_id", None, "UNMAPPED"), ("source_name", None, "UNMAPPED"), *((h, f, "AUTO_MAP") for f, h in LAYOUTS[layout].items()), *((h, None, "UNMAPPED") for h in extra)]
+
+
+#: People whose serial numbers are counted by one task.
+SERIAL_BLOCK = 65_536
+
+
+def serials(t: DataFrame, index: str, within: str, name: str) -> DataFrame:
+    """Numbers from 1 without gaps in the order of index, then within. Blocks of the index are counted first, so no task holds all rows."""
+    t = t.withColumn("_b", F.floor(F.col(index) / SERIAL_BLOCK))
+    sizes = t.groupBy("_b").agg(F.count("*").alias("_n"))
+    before = sizes.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each block
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy(index, within))
+    return t.join(before, "_b").withColumn(name, F.col("_before") + rank).drop("_b", "_before")
+
+
+def source_c_copies(people: DataFrame, seed: int = 42, duplicate_percent: int = 8) -> DataFrame:
+    """Every person once, some once more, before noise: copy tells which, and ids run over both without gaps."""
+    copies = F.sequence(F.lit(0), F.when(draw(seed, F.col("person_index"), 20) % 100 < duplicate_percent, 1).otherwise(0))
+    t = serials(people.select("*", F.explode(copies).alias("copy")), "person_index", "copy", "serial")
+    return t.select(F.concat(F.lit("C-"), padded(F.col("serial"))).alias("source_record_id"), F.lit("source_c").alias("source_name"), "serial", "person_id", "copy", *CANONICAL_FIELDS)
+
+
+def source_c(people: DataFrame, seed: int = 42, duplicate_percent: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(records, events) of source C: the copies with semantic noise, each copy with its own; a duplicate is an event too."""
+    plain = source_c_copies(people, seed, duplicate_percent)
+    records, log = corrupt(plain, seed + 3, "semantic_noise", "serial")
+    pairs = positive_pairs(plain)
+    again = pairs.select(
+        F.lit("duplicate").alias("corruption_type"), F.lit("*").alias("field_name"), F.col("source_record_id_a").alias("before_value"), F.col("source_record_id_b").alias("after_value"),
+        F.lit(SEVERITY["duplicate"]).alias("severity"), F.col("person_id_a").alias("person_id"), F.col("source_record_id_b").alias("source_record_id"), "source_name",
+    )
+    return records, log.unionByName(again)
 
 
 def duplicate_groups(c: DataFrame) -> DataFrame:
@@ -168,10 +257,30 @@ def duplicate_groups(c: DataFrame) -> DataFrame:
     return g.where(F.size("source_record_ids") > 1).select("person_id", "source_record_ids", "source_name")
 
 
-def positive_pairs(c: DataFrame) -> DataFrame:
+def positive_pairs(c: DataFrame, pair_type: str = "duplicate") -> DataFrame:
+    """Original and copy of the same person, as pairs of records."""
     a, b = c.where("copy = 0"), c.where("copy = 1")
     j = a.select("person_id", F.col("source_record_id").alias("source_record_id_a"), "source_name").join(b.select("person_id", F.col("source_record_id").alias("source_record_id_b")), "person_id")
-    return j.select(F.col("person_id").alias("person_id_a"), F.col("person_id").alias("person_id_b"), "source_record_id_a", "source_record_id_b", "source_name", F.lit("positive").alias("pair_type"))
+    return j.select(F.col("person_id").alias("person_id_a"), F.col("person_id").alias("person_id_b"), "source_record_id_a", "source_record_id_b", "source_name", F.lit(pair_type).alias("pair_type"))
+
+
+def hard_positives(people: DataFrame, count: int, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, events, pairs): ``count`` people, those with the smallest draws, each as they are and once heavily corrupted with gaps."""
+    some = people.withColumn("_d", draw(seed, F.col("person_index"), 41)).orderBy("_d", "person_index").limit(count)
+    t = cut(some.drop("_d")).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
+    t = serials(t, "person_index", "copy", "serial")
+    t = t.select(F.concat(F.lit("hard_positive-"), padded(F.col("serial"))).alias("source_record_id"), F.lit("hard_positive").alias("source_name"), "serial", "person_id", "copy", *CANONICAL_FIELDS)
+    bad, log = corrupt(t.where("copy = 1"), seed + 4, "hard_positive", "serial", drop_percent=35)
+    return t.where("copy = 0").unionByName(bad), log, positive_pairs(t, "hard_positive")
+
+
+def hard_negative_records(pairs: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, pairs with record ids): both people of each pair as they are, under ids of their own."""
+    p = cut(pairs.select("person_id_a", "person_id_b", F.row_number().over(Window.orderBy(F.col("likeness").desc(), "person_id_a", "person_id_b")).alias("n")))  # as many rows as were asked for
+    rid = lambda k: F.concat(F.lit("hard_negative-"), padded(F.col("n") * 2 - k))
+    p = p.withColumns({"source_record_id_a": rid(1), "source_record_id_b": rid(0), "source_name": F.lit("hard_negative"), "pair_type": F.lit("hard_negative")}).drop("n")
+    each = p.select(F.inline(F.array(*(F.struct(F.col(f"source_record_id_{x}").alias("source_record_id"), F.col(f"person_id_{x}").alias("person_id")) for x in "ab"))))
+    return each.join(people.select("person_id", *CANONICAL_FIELDS), "person_id").withColumn("source_name", F.lit("hard_negative")), p
 
 
 # What equal fields add to the likeness of two people.

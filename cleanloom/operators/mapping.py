@@ -259,10 +259,33 @@ def apply_plan(table: DataFrame, plan: MappingPlan, keep: Sequence[str] = ("row_
     )
 
 
-def failure_kind(expected: str, got: str, field_ok: bool) -> str | None:
-    """Why a labelled column came out otherwise, null if it didn't."""
-    if expected == got and (field_ok or expected != AUTO_MAP):
+# The ways in which a labelled column can come out wrong. Only some follow from decision and field alone.
+FAILURES = (
+    "LEXICAL_FALSE_POSITIVE", "PATTERN_FALSE_POSITIVE", "TYPE_CONFLICT", "HEADER_PATTERN_CONFLICT", "AMBIGUOUS_ALIAS", "COLLISION",
+    "THRESHOLD_ERROR", "MISSING_EVIDENCE", "FALSE_AUTO_MAP", "MISSED_MAPPING", "FALSE_REVIEW", "FALSE_UNMAPPED",
+)
+#: For a label that isn't AUTO_MAP: what each other decision is.
+_WRONG = {
+    UNMAPPED: {AUTO_MAP: "FALSE_AUTO_MAP", CONFLICT: "FALSE_UNMAPPED"},
+    REVIEW: {AUTO_MAP: "FALSE_AUTO_MAP", UNMAPPED: "FALSE_UNMAPPED"},
+}
+
+
+def failure_kind(expected: str, field: str | None, got: str, got_field: str | None) -> str | None:
+    """Why a labelled column came out otherwise, one of FAILURES; null if it didn't. expected and got are decisions."""
+    if expected in _WRONG:
+        return _WRONG[expected].get(got)
+    if not field:
         return None
-    if expected == got:
-        return "WRONG_FIELD"
-    return {(AUTO_MAP, REVIEW): "OVER_CAUTIOUS", (AUTO_MAP, UNMAPPED): "MISSED_MAPPING", (REVIEW, AUTO_MAP): "OVER_CONFIDENT", (UNMAPPED, AUTO_MAP): "FALSE_MAPPING"}.get((expected, got), "MISSED_CONFLICT" if expected == CONFLICT else "OTHER_DECISION")
+    if got == AUTO_MAP:
+        return None if got_field == field else "FALSE_AUTO_MAP"
+    return {CONFLICT: "COLLISION", REVIEW: "FALSE_REVIEW" if expected == AUTO_MAP else "MISSED_MAPPING"}.get(got, "MISSED_MAPPING")
+
+
+def label_outcome(expected: str, field: str | None, got: str, got_field: str | None) -> str:
+    """correct, incorrect (something false was claimed) or missed (something true wasn't)."""
+    if expected != AUTO_MAP:
+        return "correct" if got == expected else "missed" if expected == REVIEW else "incorrect"
+    if got == AUTO_MAP:
+        return "correct" if got_field == field else "incorrect"
+    return "missed"

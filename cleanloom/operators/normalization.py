@@ -1,4 +1,4 @@
-"""Deterministic normalisation with an audit trail, over (field, value) rows.
+"""Deterministic normalisation with an audit trail, over (field, value) rows or, in the wide form, over records as they stand.
 
 A value passes the steps of its field in a fixed order. Each step that changes it leaves an entry with the value before the whole
 chain and the value after the step. Only fields that are SAFE change; nothing is ever invented for a missing value.
@@ -6,14 +6,14 @@ chain and the value after the step. Only fields that are SAFE change; nothing is
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cleanloom.functions.text import collapse, digits, nfc, strip
-from cleanloom.operators.validation import E164, TEXT_FIELDS, record_fields, validate_fields
+from cleanloom.operators.validation import E164, TEXT_FIELDS, Condition, conditions, not_texts, record_fields, text_values, validate_fields
 from cleanloom.plans.config import CANONICAL_FIELDS, QualityConfig
 
 
@@ -140,21 +140,51 @@ def audit_counts(records: DataFrame, config: QualityConfig | None = None, key: s
     return transformations(records, config, key).groupBy("rule_id").agg(F.count("*").alias("change_count"))
 
 
-def wide(fields: DataFrame, key: str, column: str = "normalized") -> DataFrame:
-    """Back to one row for each record: key, the canonical fields, changed_field_count and the audit in order of the fields."""
-    pick = [F.max(F.when(F.col("field_name") == f, F.col(column))).alias(f) for f in CANONICAL_FIELDS]
-    changed = F.count_if(~F.col("normalized").eqNullSafe(F.col("value"))).alias("changed_field_count")
-    audit = F.sort_array(F.collect_list(F.struct("pos", "transformations")))  # eight entries a record
-    return fields.groupBy(key).agg(*pick, changed, F.flatten(F.transform(audit, lambda x: x["transformations"])).alias("transformations"))
+def wide_eligibility(found: Sequence[Condition], values: dict[str, Column]) -> dict[str, Column]:
+    """field_eligibility() of each field from the outcomes of the conditions."""
+    out = {}
+    for f in CANONICAL_FIELDS:
+        blocks = []
+        for x in reversed([x for x in found if x.field == f and x.severity == "error"]):
+            says = x.rule.eligibility
+            says = F.lit("NOT_APPLICABLE" if x.rule.id == "required.missing" else says) if isinstance(says, str) else says(values[f])
+            blocks.append(F.when(F.col(x.name) & (says != "SAFE"), says))
+        out[f] = F.coalesce(*blocks, F.lit("SAFE"))
+    return out
+
+
+def normalized_columns(records: DataFrame, config: QualityConfig | None = None, key: str = "row_number") -> tuple[DataFrame, list[Condition]]:
+    """Records in one row each: key, value and normalized of each field as _v_<field> and _n_<field>, audit, and the outcomes of the conditions."""
+    c = (config or QualityConfig()).check()
+    value = {f: F.col(f"_v_{f}") for f in CANONICAL_FIELDS}
+    t = records.select(F.col(key), *(v.alias(f"_v_{f}") for f, v in text_values(records).items()))
+    found, columns = conditions(value, not_texts(records), c, "_c")
+    t = t.select("*", *(v.alias(k) for k, v in columns.items()))
+    t = t.withColumns({f"_e_{f}": (e == "SAFE") & value[f].isNotNull() for f, e in wide_eligibility(found, value).items()})
+    last, audit = {f: f"_v_{f}" for f in CANONICAL_FIELDS}, {f: [] for f in CANONICAL_FIELDS}
+    for k, s in enumerate(x for x in steps() if x.id not in c.disabled):
+        mine = [f for f in CANONICAL_FIELDS if f in s.fields]
+        new = {f: F.when(F.col(f"_e_{f}"), s.change(F.when(F.col(f"_e_{f}"), F.col(last[f])), c)).otherwise(F.col(last[f])) for f in mine}
+        t = t.withColumns({f"_s{k}_{f}": v for f, v in new.items()})
+        for f in mine:
+            now = F.col(f"_s{k}_{f}")
+            note = F.struct(F.lit(s.id).alias("rule_id"), value[f].alias("original_value"), now.alias("normalized_value"), F.lit("CHANGED").alias("status"))
+            audit[f].append(F.when(~now.eqNullSafe(F.col(last[f])), note))
+            last[f] = f"_s{k}_{f}"
+    kind = "array<struct<rule_id:string,original_value:string,normalized_value:string,status:string>>"
+    notes = [n for f in CANONICAL_FIELDS for n in audit[f]]
+    changed = sum(((~F.col(last[f]).eqNullSafe(value[f])).cast("long") for f in CANONICAL_FIELDS), F.lit(0).cast("long"))
+    listed = (F.array_compact(F.array(*notes)) if notes else F.array()).cast(kind)
+    return t.select(key, *value.values(), *(F.col(last[f]).alias(f"_n_{f}") for f in CANONICAL_FIELDS), changed.alias("changed_field_count"), listed.alias("transformations"), *columns), found
 
 
 def normalize_records(records: DataFrame, config: QualityConfig | None = None, key: str = "row_number") -> DataFrame:
-    """Normalised records: key, the canonical fields, changed_field_count, transformations. Keys must be unique."""
-    return wide(normalized_fields(records, config, key), key)
+    """Normalised records: key, the canonical fields, changed_field_count, transformations (in order of fields, then steps)."""
+    t, _ = normalized_columns(records, config, key)
+    return t.select(key, *(F.col(f"_n_{f}").alias(f) for f in CANONICAL_FIELDS), "changed_field_count", "transformations")
 
 
 def normalization_summary(records: DataFrame, config: QualityConfig | None = None, key: str = "row_number") -> DataFrame:
     """One row: record_count, changed_records, changed_fields, transformation_count."""
-    f = normalized_fields(records, config, key).select(key, (~F.col("normalized").eqNullSafe(F.col("value"))).cast("int").alias("c"), F.size("transformations").alias("t"))
-    r = f.groupBy(key).agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
+    r = normalize_records(records, config, key).select(F.col("changed_field_count").alias("c"), F.size("transformations").alias("t"))
     return r.agg(F.count("*").alias("record_count"), F.count_if(F.col("c") > 0).alias("changed_records"), F.coalesce(F.sum("c"), F.lit(0)).alias("changed_fields"), F.coalesce(F.sum("t"), F.lit(0)).alias("transformation_count"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,9 +65,13 @@ def column_profiles(table: DataFrame, order: list[str], config: IngestionConfig
     ones. Distinct values are counted in two steps, first by value, so that a frequent value is one row before it moves. A column
     without values is a string of low confidence. A table without rows gives its columns with zeros.
     """
-    c = (config or IngestionConfig()).check()
     names = columns or table.columns
-    v = long_values(table, order, names)
+    return value_profiles(long_values(table, order, names), names, config)
+
+
+def value_profiles(v: DataFrame, names: list[str], config: IngestionConfig | None = None) -> DataFrame:
+    """column_profiles() of values that are long already (see long_values); several tables may stand in one, under names of their own."""
+    c = (config or IngestionConfig()).check()
     by_value = v.groupBy("name", "s").agg(F.count("*").alias("n"), F.count_if(F.col("v").isNull()).alias("nulls"))
     counts = by_value.groupBy("name").agg(
         F.sum("n").alias("row_count"),
@@ -81,7 +87,7 @@ def column_profiles(table: DataFrame, order: list[str], config: IngestionConfig
         *(F.count_if(t).alias(f"is_{k}") for k, t in tests.items()),
         *(F.count_if(F.col("s").rlike(p)).alias(k) for k, p in PATTERNS.items()),
     )
-    spark = table.sparkSession
+    spark = v.sparkSession
     base = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, position int")
     t = base.join(F.broadcast(counts), "name", "left").join(F.broadcast(sampled), "name", "left")  # one row a column each
     zero = {k: F.coalesce(F.col(k), F.lit(0)).alias(k) for k in ("row_count", "null_count", "blank_count", "unique_count", "sample_size", *(f"is_{k}" for k in INFERRED), *PATTERNS)}
@@ -102,9 +108,11 @@ def column_profiles(table: DataFrame, order: list[str], config: IngestionConfig
     )
 
 
-def dataset_profile(profiles: DataFrame, accepted: int, rejected: int) -> DataFrame:
-    """One row: row_count (accepted and rejected), accepted_rows, rejected_rows, column_count, empty_columns."""
+def dataset_profile(profiles: DataFrame, accepted: int, rejected: int, warnings: Sequence[str] = (), metadata: Mapping[str, str] | None = None) -> DataFrame:
+    """One row: row_count (accepted and rejected), accepted_rows, rejected_rows, column_count, empty_columns, warnings, metadata."""
     empty = F.array_sort(F.collect_list(F.when(F.col("non_null_count") == 0, F.struct("position", "name"))))
+    facts = [F.lit(x) for kv in sorted((metadata or {}).items()) for x in kv]
     return profiles.agg(F.count("*").alias("column_count"), F.transform(empty, lambda x: x["name"]).alias("empty_columns")).select(
-        F.lit(accepted + rejected).cast("long").alias("row_count"), F.lit(accepted).cast("long").alias("accepted_rows"), F.lit(rejected).cast("long").alias("rejected_rows"), "column_count", "empty_columns"
-    )
+        F.lit(accepted + rejected).cast("long").alias("row_count"), F.lit(accepted).cast("long").alias("accepted_rows"), F.lit(rejected).cast("long").alias("rejected_rows"), "column_count", "empty_columns",
+        F.array(*map(F.lit, warnings)).cast("array<string>").alias("warnings"), F.create_map(*facts).cast("map<string,string>").alias("metadata"),
+    )

@@ -5,40 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cleanloom.operators.normalization import eligible_fields, normalize_fields, wide
-from cleanloom.operators.validation import issue_array, severity_counts
-from cleanloom.plans.config import QualityConfig
+from cleanloom.operators.normalization import normalized_columns
+from cleanloom.operators.validation import conditions, not_texts, wide_counts
+from cleanloom.plans.config import CANONICAL_FIELDS, QualityConfig
 
 
-def quality_fields(records: DataFrame, config: QualityConfig | None = None, key: str = "row_number") -> DataFrame:
-    """(record, field) rows through the whole run: value, issues, eligibility, normalized, transformations, post_issues."""
-    c = (config or QualityConfig()).check()
-    t = normalize_fields(eligible_fields(records, c, key), c)
-    # rules across fields look at the city as normalised, which lies in another row of the record
-    city = t.where("field_name = 'city'").select(F.col(key).alias("_k"), F.col("normalized").alias("_city"))
-    t = t.join(city, t[key].eqNullSafe(city["_k"]), "left").drop("_k")
-    again = t.select("*").withColumnsRenamed({"value": "_value", "city_value": "_old_city"}).withColumnsRenamed({"normalized": "value", "_city": "city_value"})
-    again = again.withColumn("post_issues", issue_array(c))
-    return again.withColumnsRenamed({"value": "normalized", "city_value": "_city"}).withColumnRenamed("_value", "value").drop("_city", "_old_city")
+STAGES = ("pre", "post")
+
+
+def quality_columns(records: DataFrame, config: QualityConfig | None = None, key: str = "row_number") -> DataFrame:
+    """One row for each record: key, the normalised fields, changed_field_count, transformations and the issue counts of both stages.
+
+    Every rule and step is a column of the record; rules across fields look at the city as normalised. Nothing is shuffled.
+    """
+    t, before = normalized_columns(records, config, key)
+    after, columns = conditions({f: F.col(f"_n_{f}") for f in CANONICAL_FIELDS}, not_texts(records), (config or QualityConfig()).check(), "_p")
+    t = t.select("*", *(v.alias(k) for k, v in columns.items()))
+    counts = [v.alias(f"{stage}_{k}") for stage, found in zip(STAGES, (before, after)) for k, v in wide_counts(found).items()]
+    return t.select(key, *(F.col(f"_n_{f}").alias(f) for f in CANONICAL_FIELDS), "changed_field_count", "transformations", *counts)
 
 
 def quality_records(records: DataFrame, config: QualityConfig | None = None, key: str = "row_number") -> DataFrame:
     """One row for each record: the normalised fields, changed_field_count, transformations, counts of both validations, is_valid (after)."""
-    t = quality_fields(records, config, key)
-    pre, post = severity_counts(F.col("issues")), severity_counts(F.col("post_issues"))
-    n = t.select(key, *(c.alias(f"pre_{s}_count") for c, s in zip(pre, ("error", "warning", "info"))), *(c.alias(f"post_{s}_count") for c, s in zip(post, ("error", "warning", "info"))))
-    counts = n.groupBy(key).agg(*(F.sum(f"{p}_{s}_count").alias(f"{p}_{s}_count") for p in ("pre", "post") for s in ("error", "warning", "info")))
-    return wide(t, key).join(counts, key).withColumn("is_valid", F.col("post_error_count") == 0)
+    return quality_columns(records, config, key).withColumn("is_valid", F.col("post_error_count") == 0)
 
 
 def quality_summary(records: DataFrame, config: QualityConfig | None = None, key: str = "row_number") -> DataFrame:
     """Two rows, stage 'pre' and 'post': record_count, valid_count, invalid_count, error_count, warning_count, info_count."""
-    t = quality_fields(records, config, key)
-    each = F.array(*(F.struct(F.lit(stage).alias("stage"), *severity_counts(F.col(c))) for stage, c in (("pre", "issues"), ("post", "post_issues"))))
-    r = t.select(key, F.inline(each)).groupBy("stage", key).agg(*(F.sum(f"{s}_count").alias(f"{s}_count") for s in ("error", "warning", "info")))
-    return r.groupBy("stage").agg(
+    kinds = ("error", "warning", "info")
+    each = F.array(*(F.struct(F.lit(stage).alias("stage"), *(F.col(f"{stage}_{s}_count").alias(f"{s}_count") for s in kinds)) for stage in STAGES))
+    return quality_columns(records, config, key).select(F.inline(each)).groupBy("stage").agg(
         F.count("*").alias("record_count"), F.count_if(F.col("error_count") == 0).alias("valid_count"), F.count_if(F.col("error_count") > 0).alias("invalid_count"),
-        *(F.sum(f"{s}_count").alias(f"{s}_count") for s in ("error", "warning", "info")),
+        *(F.sum(f"{s}_count").alias(f"{s}_count") for s in kinds),
     )
 
 
