@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cleanloom.functions.session import cut, lookup
 from cleanloom.functions.text import fold
-from cleanloom.llm.places import matchers, reference_entries
+from cleanloom.llm.places import matchers, reference_entries, words
 from cleanloom.llm.strings import corrections
 
 # Words that mark a part of a Turkish address, folded.
@@ -28,20 +29,18 @@ ENOUGH = 4.0
 #: A street may be taken for a slip of another one only if it is so many times rarer.
 DOMINANCE = 4
 
-def address_tokens(x: Column) -> Column:
-    """An address folded, as words, runs of digits and the marks / - #, one blank between."""
-    y = F.regexp_replace(fold(x), r"[^a-z0-9/#-]+", " ")
-    return F.trim(F.regexp_replace(y, r"([/#-])|(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])", " $1 "))
+#: A folded address as words, runs of digits and the marks / - #.
+_TOKEN = re.compile(r"[a-z]+|[0-9]+|[/#-]")
 
 
 def address_parts(address: str, places: frozenset[str]) -> tuple[str, str | None, str | None, str, str, str | None] | None:
-    """(number, street, quarter, house, others, postcode) of address_tokens() joined, None if there is no number.
+    """(number, street, quarter, house, others, postcode) of a folded address, None if there is no number.
 
     number is the house number with its letter (``7b``), whatever its length: the first one with a mark, else the first one that is
     neither floor nor flat nor, with five digits, the postcode. street, quarter and house are the words before their marks. others
     are the remaining words that are none of ``places``, with a + before those that stand in front of the name of a house.
     """
-    tokens = address.split()
+    tokens = _TOKEN.findall(address)
     last = len(tokens) - 1
     number = bare = code = None
     at = [_PART.get(t) or (t.isalpha() and "free") for t in tokens]
@@ -101,7 +100,7 @@ def read_addresses(records: DataFrame, reference: DataFrame, aliases: DataFrame,
     entries = reference_entries(reference, aliases)
     t = records.withColumns({f"_in_{k}": F.col(c).cast("string") for k, c in zip("acd", columns)})
     usable = F.col("_in_a").rlike(r"\p{Nd}") & F.col("_in_a").rlike(r"\p{L}{2}")
-    t = t.withColumn("_p", parts_udf(entries)("_in_c", "_in_d", F.when(usable, address_tokens(F.col("_in_a")))))
+    t = t.withColumn("_p", parts_udf(entries)("_in_c", "_in_d", F.when(usable, fold(F.col("_in_a")))))
     return t.select(*records.columns, *(F.col(f"_p.{c}").alias(c) for c in PARTS))
 
 
@@ -127,7 +126,7 @@ def parts_udf(entries: dict[str, list[tuple[int, str, int | None]]]) -> Callable
             at = typed(c)
             if at:
                 return at
-            text = " ".join(t for t in a.split() if t.isalnum())
+            text = words(a)
             last = city.mentions(text)[-1:]
             return city.ids[last[0]][0] if last else (of_district(district.names(d)) if d is not None else None) or of_district(reversed(district.mentions(text)))
 

@@ -57,15 +57,16 @@ def signatures(people: DataFrame, reference: DataFrame, aliases: DataFrame) -> t
     t = people.select("side", "rid", "first", "last", email_key(F.col("email")).alias("email"), phone_key(F.col("phone")).alias("phone"), "address", "city", "district")
     t = read_addresses(t, reference, aliases).drop("address", "city", "district", "quarter")
     t = cut(t.where("email IS NOT NULL OR phone IS NOT NULL OR number IS NOT NULL").withColumn("id", F.monotonically_increasing_id()))
-    full = cut(settle_addresses(t).select("id", "side", "rid", "first", "last", "email", "phone", F.concat_ws(" ", "street", "number").alias("house"), F.when(F.col("street").isNotNull(), F.col("city_id")).alias("city_id"), F.col("street").isNotNull().alias("built")))
-    full = full.withColumn("house", F.when(F.col("built"), F.col("house"))).drop("built")
-    key = full.select("id", "side", F.explode(blocks()).alias("key"))
-    mine, theirs = key.where("side = 'a'").select("id", "key"), key.where("side = 'b'").select("key")
-    first = mine.join(theirs, "key", "left_semi").select("id")
-    reached = mine.join(first, "id", "left_semi").select("key")
-    second = mine.join(reached, "key", "left_semi").select("id")
+    house = F.when(F.col("street").isNotNull(), F.concat_ws(" ", "street", "number"))
+    full = settle_addresses(t).select("id", "side", "rid", "first", "last", "email", "phone", house.alias("house"), F.when(F.col("street").isNotNull(), F.col("city_id")).alias("city_id"))
+    # which rows can match is told by hashes of the blocks alone: an equal hash lets a row too many through, never one too few
+    key = cut(full.select("id", "side", F.explode(F.transform(blocks(), lambda k: F.xxhash64(k))).alias("key")))
+    mine, theirs = key.where("side = 'a'").select("id", "key"), key.where("side = 'b'").select("key").distinct()
+    first = mine.join(theirs, "key", "left_semi").select("id").distinct()
+    reached = mine.join(first, "id", "left_semi").select("key").distinct()
+    second = mine.join(reached, "key", "left_semi").select("id").distinct()
     part = cut(full.where("side = 'a'").join(second, "id", "left_semi").unionByName(full.where("side = 'b' AND (email IS NOT NULL OR phone IS NOT NULL OR house IS NOT NULL)")))
-    names = name_parts(part.select("id", "first", "last"), full.select("id", "first", "last"), least=1)
+    names = name_parts(part.select("id", "first", "last"), t.select("id", "first", "last"), least=1)
     attrs = ["side", "surname", "givens", "email", "phone", "house", "city_id"]
     t = cut(part.drop("first", "last").join(names, "id"))
     c = cut(t.groupBy(*attrs).agg(F.min("id").alias("cls")))
@@ -81,14 +82,16 @@ def blocks() -> Column:
 
 
 def candidates(c: DataFrame, forms: list[tuple[str, str]]) -> DataFrame:
-    """Pairs (u, v) of classes, u < v, that share a block and a surname or full given name, with the agreement of their attributes.
+    """Pairs (u, v) of classes that share a block and a surname or full given name, with the agreement of their attributes.
+
+    u is of side a; v is of side b, or of side a and then u < v: two of side b are never compared, as no rule speaks of them.
 
     A block is one value with one name, so a value shared by many people (a switchboard, a mall) falls apart by name.
     """
     name_keys = F.filter(F.concat(F.array(F.col("surname")), F.col("givens")), lambda g: F.length(g) > 1)
-    k = c.withColumn("name", F.explode(name_keys)).withColumn("key", F.explode(blocks())).select("cls", F.xxhash64("name", "key").alias("key"))
-    a, b = k.select("key", F.col("cls").alias("u")), k.select("key", F.col("cls").alias("v"))
-    pairs = a.join(b, "key").where("u < v").select("u", "v").distinct()
+    k = c.withColumn("name", F.explode(name_keys)).withColumn("key", F.explode(blocks())).select("cls", "side", F.xxhash64("name", "key").alias("key"))
+    a, b = k.where("side = 'a'").select("key", F.col("cls").alias("u")), k.select("key", F.col("cls").alias("v"), "side")
+    pairs = a.join(b, "key").where("side = 'b' OR u < v").select("u", "v").distinct()
     side = lambda s: c.select(*[F.col(x).alias(f"{x}_{s}") for x in ("side", "surname", "givens", "email", "phone", "house", "city_id")], F.col("cls").alias(s))
     return agreements(pairs.join(side("u"), "u").join(side("v"), "v"), forms)
 
@@ -148,7 +151,7 @@ def match_people(
     people = people_rows(source, columns[0], "a").unionByName(people_rows(partner, columns[1], "b"))
     c, member = signatures(people, reference, aliases)
     pairs = cut(candidates(c, forms))
-    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("side_v").alias("side_u"), F.col("side_u").alias("side_v"), "email", "phone", "home", "given", "family"))
+    both = pairs.unionByName(pairs.where("side_v = 'a'").select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("side_v").alias("side_u"), F.col("side_u").alias("side_v"), "email", "phone", "home", "given", "family"))
     toward, away = unary()
     direct = both.where("side_u = 'a' AND side_v = 'b'").select("u", "v", toward.alias("t"), away.alias("z"))
     link = both.where("side_u = 'a' AND side_v = 'a'").select("u", F.col("v").alias("w"), (toward / (toward + away)).alias("p"))

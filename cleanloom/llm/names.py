@@ -35,15 +35,17 @@ def name_tokens(x: Column) -> Column:
 
 
 def typed_names(people: DataFrame) -> DataFrame:
-    """(first, last) as typed, null being empty, each once, with the number n of rows that have them."""
-    return people.groupBy(F.coalesce("first", F.lit("")).alias("first"), F.coalesce("last", F.lit("")).alias("last")).agg(F.count("*").alias("n"))
+    """(name_no, first, last, n) written: each way a name is typed once, null being empty, with a number and how many rows have it."""
+    t = people.groupBy(F.coalesce("first", F.lit("")).alias("first"), F.coalesce("last", F.lit("")).alias("last")).agg(F.count("*").alias("n"))
+    return cut(t.withColumn("name_no", F.monotonically_increasing_id()))
 
 
 def token_rows(names: DataFrame) -> DataFrame:
-    """(first, last, n) to (first, last, pos, token, is_first, n); placeholders have no tokens."""
+    """typed_names() to (name_no, n, pos, token, is_first); placeholders have no tokens."""
     tokens = lambda c: F.when(F.lower(F.trim(c)).isin(*PLACEHOLDERS), F.array().cast("array<string>")).otherwise(name_tokens(F.col(c)))
-    both = F.concat(F.transform(tokens("first"), lambda w: F.struct(w.alias("token"), F.lit(1).alias("is_first"))), F.transform(tokens("last"), lambda w: F.struct(w.alias("token"), F.lit(0).alias("is_first"))))
-    return names.select("first", "last", "n", F.posexplode(both).alias("pos", "t")).select("first", "last", "n", "pos", "t.token", "t.is_first")
+    t = names.select("name_no", "n", tokens("first").alias("f"), tokens("last").alias("l"))
+    t = t.select("name_no", "n", F.size("f").alias("firsts"), F.posexplode(F.concat("f", "l")).alias("pos", "token"))
+    return t.select("name_no", "n", "pos", "token", (F.col("pos") < F.col("firsts")).cast("int").alias("is_first"))
 
 
 def name_vocabulary(tokens: DataFrame) -> DataFrame:
@@ -61,15 +63,16 @@ def name_parts(people: DataFrame, everyone: DataFrame | None = None, least: int
     (people, if not given). The surname is the token that, as corrected, is least often a first name; givens holds the other tokens
     in order, initials included. A single token that is mostly a first name stands in givens, and surname is empty.
     """
-    mine = cut(typed_names(people))
-    v = name_vocabulary(token_rows(mine if everyone is None else cut(typed_names(everyone))))
-    entry = F.struct("pos", F.col("fixed").alias("token"), F.col("m").alias("n"), "given")
-    g = token_rows(mine).join(lookup(v.withColumnRenamed("n", "m")), "token").groupBy("first", "last").agg(F.collect_list(entry).alias("ts")).where(F.size("ts") >= least)
-    rank = F.array_min(F.transform("ts", lambda x: F.struct((F.length(x["token"]) < 2).alias("a"), F.round(x["given"], 1).alias("b"), x["n"].alias("c"), (-x["pos"]).alias("d"))))
-    g = g.withColumn("at", F.when((F.size("ts") > 1) | (F.col("ts")[0]["given"] <= 0.5), -rank["d"]).otherwise(-1))
-    surname = F.coalesce(F.get(F.filter("ts", lambda x: x["pos"] == F.col("at")), F.lit(0))["token"], F.lit(""))
-    givens = F.transform(F.filter("ts", lambda x: x["pos"] != F.col("at")), lambda x: x["token"])
-    parts = g.select("first", "last", surname.alias("surname"), F.array_sort(givens).alias("givens")).where((F.length("surname") > 1) | (F.col("surname") == ""))
+    mine = typed_names(people)
+    v = name_vocabulary(token_rows(mine if everyone is None else typed_names(everyone)))
+    # the least entry of a name is its surname: no initial, least often a first name, then the rarest, then the last one
+    v = v.select("token", (F.length("fixed") < 2).alias("short"), F.round("given", 1).alias("share"), F.col("n").alias("often"), F.col("given") > 0.5, "fixed").toDF("token", "short", "share", "often", "mostly_given", "fixed")
+    entry = F.struct("short", "share", "often", (-F.col("pos")).alias("place"), "fixed", "mostly_given")
+    g = token_rows(mine).join(lookup(v), "token").groupBy("name_no").agg(F.collect_list(entry).alias("ts")).where(F.size("ts") >= least)
+    g = g.withColumn("s", F.array_min("ts")).withColumn("alone", (F.size("ts") == 1) & F.col("s.mostly_given"))
+    givens = F.transform(F.filter("ts", lambda x: F.col("alone") | (x["place"] != F.col("s.place"))), lambda x: x["fixed"])
+    parts = g.select("name_no", F.when(F.col("alone"), "").otherwise(F.col("s.fixed")).alias("surname"), F.array_sort(givens).alias("givens")).where((F.length("surname") > 1) | (F.col("surname") == ""))
+    parts = mine.join(parts, "name_no").select("first", "last", "surname", "givens")
     rows = people.select("id", F.coalesce("first", F.lit("")).alias("first"), F.coalesce("last", F.lit("")).alias("last"))
     return rows.join(lookup(parts), ["first", "last"]).select("id", "surname", "givens")
 

@@ -106,16 +106,12 @@ def corrections(counts: DataFrame, dominance: int = 4, shortest: int = 6) -> Dat
     and a form is shared by few tokens, so the join stays near linear in the vocabulary.
     """
     c = counts.where(F.length("token") >= shortest)
-    forms = c.select("token", "n", F.explode(delete_forms(F.col("token"))).alias("form"))
-    a = forms.select("form", "token", "n")
+    # forms meet by their hashes; whether two words really are near is settled below
+    forms = c.select("token", "n", F.explode(F.transform(delete_forms(F.col("token")), lambda f: F.xxhash64(f))).alias("form"))
     b = forms.select("form", F.col("token").alias("fixed"), F.col("n").alias("n_fixed"))
-    near = (
-        a.join(b, "form")
-        .where((F.col("token") != F.col("fixed")) & (F.col("n_fixed") >= F.col("n") * dominance))
-        .groupBy("token", "fixed")
-        .agg(F.first("n_fixed").alias("n_fixed"))
-    )
+    near = forms.join(b, "form").where((F.col("token") != F.col("fixed")) & (F.col("n_fixed") >= F.col("n") * dominance)).select("token", "fixed", "n_fixed").distinct()
     swap = F.array_sort(F.split("token", "")) == F.array_sort(F.split("fixed", ""))
-    edits = F.when(swap, 1).otherwise(F.levenshtein("token", "fixed"))
-    best = near.groupBy("token").agg(F.max_by(F.struct("fixed", "n_fixed"), F.struct(-edits, "n_fixed", "fixed")).alias("m"))
+    apart = F.levenshtein("token", "fixed")
+    near = near.withColumn("apart", apart).where("apart <= 2").withColumn("edits", F.when(swap, 1).otherwise(F.col("apart")))
+    best = near.groupBy("token").agg(F.max_by(F.struct("fixed", "n_fixed"), F.struct(-F.col("edits"), "n_fixed", "fixed")).alias("m"))
     return best.select("token", "m.fixed", "m.n_fixed")
