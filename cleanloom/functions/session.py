@@ -10,7 +10,7 @@ import tempfile
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -85,17 +85,29 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Bytes of a lookup table, as text, up to which it is sent to every executor; beyond that the join shuffles.
+#: Bytes of a lookup table up to which it is sent to every executor; beyond that the join shuffles.
 LOOKUP_BYTES = 16 * 2**20
-#: Bytes that a row of it takes besides its text.
+#: Bytes that a row of it takes besides its values.
 ROW_BYTES = 64
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """What a row takes: its texts, alone or in arrays, eight bytes for every other value."""
+    out = F.lit(ROW_BYTES)
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if f.dataType.typeName() in ("string", "array", "struct", "map"):
+            text = c if f.dataType.typeName() == "string" else F.array_join(c, "12345678") if f.dataType.simpleString() == "array<string>" else F.to_json(c)
+            out = out + F.coalesce(F.octet_length(text), F.lit(0))
+        else:
+            out = out + 8
+    return out
+
+
 def lookup(df: DataFrame, most: int = LOOKUP_BYTES, written: bool = False) -> DataFrame:
     """Written (unless it is already) and measured: marked for broadcast only if its bytes are few, else left to a shuffling join."""
     c = df if written else cut(df)
-    size = c.select(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*"))) + ROW_BYTES), F.lit(0))).first()[0]
-    return F.broadcast(c) if size <= most else c
+    return F.broadcast(c) if c.select(F.coalesce(F.sum(row_bytes(c)), F.lit(0))).first()[0] <= most else c
 
 
 def is_broadcast(df: DataFrame) -> bool:
