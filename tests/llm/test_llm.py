@@ -280,9 +280,40 @@ def test_too_many_limits_are_an_error(spark):
 def test_packing():
     rng = random.Random(5)
     sizes = [rng.randint(1, 400) for _ in range(300)]
-    bins = packing.evolve(sizes, 512, 1)
-    assert sorted(i for b in bins for i in b) == list(range(300)) and all(sum(sizes[i] for i in b) <= 512 for b in bins)
-    assert len(bins) <= -(-sum(sizes) // 512) + 3 and packing.evolve([], 512, 1) == []
+    p = packing.evolve(sizes, 512, 1)
+    used = [sum(n for n, k in zip(sizes, p.labels) if k == b) for b in range(len(p.free))]
+    assert all(0 < u <= 512 for u in used) and used == [512 - f for f in p.free]
+    assert len(used) <= -(-sum(sizes) // 512) + 3 and len(packing.evolve([], 512, 1).free) == 0
+
+
+def test_lower_bound_and_evolution_against_all_packings():
+    def least(sizes, capacity):
+        best = [len(sizes)]
+
+        def go(k, free):
+            if len(free) >= best[0]:
+                return
+            if k == len(sizes):
+                best[0] = len(free)
+                return
+            for j in range(len(free)):
+                if free[j] >= sizes[k]:
+                    go(k + 1, [f - sizes[k] * (i == j) for i, f in enumerate(free)])
+            go(k + 1, [*free, capacity - sizes[k]])
+
+        go(0, [])
+        return best[0]
+
+    rng = random.Random(6)
+    for n in range(40):
+        sizes = [rng.randint(1, 30) for _ in range(rng.randint(1, 8))]
+        best = least(sizes, 40)
+        assert packing.lower_bound(sizes, 40) <= best <= len(packing.evolve(sizes, 40, n).free)
+    # best fit needs a bin more: the largest items should not stand together
+    hard = [6, 5, 5, 4, 4, 3, 3] * 6 + [7, 7, 6, 4, 3, 3] * 4
+    bins = []
+    packing.best_fit(sorted(range(len(hard)), key=lambda i: -hard[i]), hard, 10, bins, [])
+    assert len(packing.evolve(hard, 10, 1, generations=200).free) <= len(bins)
 
 
 def docs(spark):
