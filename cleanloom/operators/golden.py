@@ -58,15 +58,18 @@ SEVERITY = {
 }
 
 #: Modulus and multiplier of the draw; products stay within 64 bits.
-_M, _A = 2_147_483_647, 48_271
+_M, _A, _Q = 2_147_483_647, 48_271, 46_337
 
 
 def draw(seed: int, person: Column, field: int | Column, turn: int | Column = 0) -> Column:
-    """A whole number in 0 .. 2^31 - 2 settled by its arguments, written in plain arithmetic that any SQL has."""
+    """A whole number in 0 .. 2^31 - 2 settled by its arguments, written in plain arithmetic that any SQL has.
+
+    The middle step is quadratic: without it the draws of two turns would differ by a constant, and so depend on one another.
+    """
     x = (person.cast("long") * 7919 + (field if isinstance(field, Column) else F.lit(field)).cast("long") * 104_729 + (turn if isinstance(turn, Column) else F.lit(turn)).cast("long") * 15_485_863 + F.lit(seed * 32_452_843 + 1)) % _M
-    for _ in range(3):
-        x = (x * _A + 12_345) % _M
-    return x
+    x = (x * _A + 12_345) % _M
+    x = (x * (x % _Q + 7919) + 12_345) % _M
+    return (x * _A + 12_345) % _M
 
 
 def pick(values: Sequence[str], d: Column) -> Column:
@@ -163,27 +166,19 @@ def corrupt(records: DataFrame, seed: int, profile: str = "formatting_noise", in
     p, i = PROFILES[profile], F.col(index)
     hit = [F.when(draw(seed, i, k, 1) % 100 < p["rates"].get(f, 0), F.struct(draw(seed, i, k, 2).alias("d"), F.lit(f).alias("f"))) for k, f in enumerate(CANONICAL_FIELDS)]
     chosen = F.transform(F.slice(F.array_sort(F.filter(F.array(*hit), lambda x: x.isNotNull())), 1, p["most"]), lambda x: x["f"])
-    t = records.withColumn("_hit", chosen)
-    # draws are columns of their own: every use of one would otherwise repeat its arithmetic
-    t = t.withColumns({f"_d{n}_{f}": draw(seed, i, k, n) for n in (3, 4, 5) for k, f in enumerate(CANONICAL_FIELDS)})
-    t = t.withColumns({f"_k_{f}": weighted(F.col(f"_d3_{f}"), p["weights"]) for f in CANONICAL_FIELDS})
-    events = []
-    note = lambda kind, f, before, after: F.struct(kind.alias("corruption_type"), F.lit(f).alias("field_name"), before.alias("before_value"), after.alias("after_value"))
-    for f in CANONICAL_FIELDS:
-        v, after = F.col(f), F.col(f"_a_{f}")
-        t = t.withColumn(f"_a_{f}", F.when(F.array_contains("_hit", f) & v.isNotNull(), corrupted(F.col(f"_k_{f}"), F.lit(f), v, F.col(f"_d4_{f}"))).otherwise(v))
-        events.append(F.when(v.isNotNull() & ~after.eqNullSafe(v), note(F.col(f"_k_{f}"), f, v, after)))
-        if drop_percent:
-            gone = F.col(f"_d5_{f}") % 100 < drop_percent
-            events.append(F.when(v.isNotNull() & gone, note(F.lit("missing_value"), f, v, F.lit(None).cast("string"))))
-            t = t.withColumn(f"_a_{f}", F.when(~gone, after))
-            events[-2], events[-1] = F.when(~gone, events[-2]), events[-1]
-    t = t.withColumn("_e", F.filter(F.array(*events), lambda x: x.isNotNull()))
-    # inline_outer, as an inner one would infer a filter that repeats every operator below it
-    grave = F.coalesce(*(F.when(F.col("corruption_type") == k, v) for k, v in SEVERITY.items()), F.lit("medium"))
-    log = t.select("person_id", "source_record_id", "source_name", F.inline_outer("_e")).where("corruption_type IS NOT NULL").withColumn("severity", grave)
+    # one expression over the cells of a record serves all fields; the operator is settled before it is used
+    cells = F.array(*(F.struct(F.lit(f).alias("f"), F.col(f).alias("v"), draw(seed, i, k, 3).alias("d3"), draw(seed, i, k, 4).alias("d4"), (draw(seed, i, k, 5) % 100 < drop_percent).alias("gone")) for k, f in enumerate(CANONICAL_FIELDS)))
+    t = records.withColumn("_hit", chosen).withColumn("_cells", cells)
+    t = t.withColumn("_cells", F.transform("_cells", lambda x: F.struct(x["f"].alias("f"), x["v"].alias("v"), x["d4"].alias("d"), x["gone"].alias("gone"), weighted(x["d3"], p["weights"]).alias("kind"))))
+    after = lambda x: F.when(F.array_contains("_hit", x["f"]) & x["v"].isNotNull(), corrupted(x["kind"], x["f"], x["v"], x["d"])).otherwise(x["v"])
+    t = t.withColumn("_cells", F.transform("_cells", lambda x: F.struct(x["f"].alias("f"), x["v"].alias("v"), F.when(x["gone"], "missing_value").otherwise(x["kind"]).alias("kind"), F.when(~x["gone"], after(x)).alias("after"))))
+    changed = F.filter("_cells", lambda x: x["v"].isNotNull() & ~x["after"].eqNullSafe(x["v"]))
+    grave = lambda kind: F.coalesce(*(F.when(kind == k, v) for k, v in SEVERITY.items()), F.lit("medium"))
+    # explode_outer, as an inner one would infer a filter that repeats every operator
+    log = t.select("person_id", "source_record_id", "source_name", F.explode_outer(changed).alias("e")).where("e IS NOT NULL")
+    log = log.select(F.col("e.kind").alias("corruption_type"), F.col("e.f").alias("field_name"), F.col("e.v").alias("before_value"), F.col("e.after").alias("after_value"), grave(F.col("e.kind")).alias("severity"), "person_id", "source_record_id", "source_name")
     keep = [c for c in records.columns if c not in CANONICAL_FIELDS]
-    return t.select(*keep, *(F.col(f"_a_{f}").alias(f) for f in CANONICAL_FIELDS)), log.select(*_EVENT)
+    return t.select(*keep, *(F.col("_cells")[k]["after"].alias(f) for k, f in enumerate(CANONICAL_FIELDS))), log.select(*_EVENT)
 
 
 def padded(i: Column, width: int = 6) -> Column:

@@ -162,7 +162,7 @@ _add("norm_audit_counts", lambda s, d: normalization.audit_counts(contacts(s, d)
 _ALL_STEPS = " + ".join(f"(SELECT count(*) FROM n WHERE {v})" for v in _STEPS.values())
 _add("norm_summary", lambda s, d: normalization.normalization_summary(contacts(s, d)), f"{_NORM} SELECT {_ALL_STEPS} AS transformation_count, count(*) AS record_count, count(*) FILTER (c > 0) AS changed_records, CAST(sum(c) AS BIGINT) AS changed_fields FROM (SELECT row_number, count(*) FILTER (normalized IS DISTINCT FROM value) AS c FROM n GROUP BY 1)")
 _AGAIN = _ISSUES.replace("FROM f WHERE", "FROM g WHERE")
-_QUALITY = f"{_NORM}, i AS ({_ISSUES}), c AS (SELECT row_number, normalized AS city FROM n WHERE field_name = 'city'), g AS (SELECT n.row_number, n.field_name, n.normalized AS value, c.city FROM n JOIN c ON n.row_number = c.row_number), j AS ({_AGAIN})"
+_QUALITY = f"{_NORM}, i AS ({_ISSUES}), c AS (SELECT row_number, normalized AS city FROM n WHERE field_name = 'city'), g AS (SELECT n.row_number, n.pos, n.field_name, n.normalized AS value, c.city FROM n JOIN c ON n.row_number = c.row_number), j AS ({_AGAIN})"
 _STAGE = "SELECT '{0}' AS stage, crm.row_number, " + _COUNTS.replace("i.severity", "x.severity") + " FROM crm LEFT JOIN {1} x ON crm.row_number = x.row_number GROUP BY 2"
 _add(
     "quality_pre_post_summary",
@@ -267,7 +267,7 @@ _add(
 )
 _add(
     "check_hard_cases",
-    lambda s, d: checks.hard_case_checks(table(s, d, "partner_records"), table(s, d, "source_records"), table(s, d, "match_pairs").withColumnsRenamed({"source_record_id_a": "source_record_id_b", "source_record_id_b": "source_record_id_a"}), "hard_negative"),
+    lambda s, d: checks.hard_case_checks(table(s, d, "partner_records"), table(s, d, "source_records"), table(s, d, "match_pairs"), "hard_negative"),
     "WITH p AS (SELECT * FROM match_pairs WHERE pair_type = 'hard_negative'), named AS (SELECT source_record_id_a AS r FROM p UNION SELECT source_record_id_b FROM p), ids AS (SELECT source_record_id AS r FROM partner_records) "
     "SELECT 'duplicate_source_record_id' AS code, 'error' AS severity, r AS subject, CAST(count(*) - 1 AS VARCHAR) AS detail FROM ids WHERE r <> '' GROUP BY r HAVING count(*) > 1 "
     "UNION ALL SELECT 'missing_source_record_id', 'error', 'hard_negative', '' FROM ids WHERE r IS NULL OR r = '' "
@@ -288,8 +288,9 @@ _add("row_accounting", lambda s, d: quality.row_accounting(contacts(s, d).where(
 
 def _lcg(seed: int, person: str, field: int, turn: int = 0) -> str:
     x = f"(({person} * 7919 + {field * 104_729 + turn * 15_485_863} + {seed * 32_452_843 + 1}) % {golden._M})"
-    for _ in range(3):
-        x = f"(({x} * {golden._A} + 12345) % {golden._M})"
+    x = f"(({x} * {golden._A} + 12345) % {golden._M})"
+    x = f"(({x} * ({x} % {golden._Q} + 7919) + 12345) % {golden._M})"
+    x = f"(({x} * {golden._A} + 12345) % {golden._M})"
     return x
 
 

@@ -1,4 +1,4 @@
-from cleanloom.operators.evaluation import valid_record
+from cleanloom.plans.benchmarks import valid_record
 from cleanloom.plans.config import CANONICAL_FIELDS
 from cleanloom.streaming.quality_stream import write_issues
 
