@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import pandas as pd
@@ -16,7 +16,8 @@ from cleanloom.llm.strings import PLACEHOLDERS, corrections, delete_forms, edit_
 
 # Titles before Turkish and English names, folded.
 TITLES = ("dr", "sn", "bay", "bayan", "sayin", "prof", "doc", "av", "muh", "mr", "mrs", "ms")
-# Lines of business in company names, folded; a value may cut them to three letters or more.
+# Common lines of business in Turkish company names, folded; a value may cut them to three letters or more. Others are
+# learned from the names themselves (business_lines).
 SECTORS = (
     "mobilya", "sigortacilik", "tarim", "makina", "turizm", "ambalaj", "seramik", "kirtasiye", "gida", "elektrik", "tekstil", "denizcilik",
     "madencilik", "matbaacilik", "kimya", "peyzaj", "otomotiv", "nakliyat", "medikal", "hayvancilik", "reklamcilik", "plastik",
@@ -210,15 +211,33 @@ def word_orders(words: Column) -> Column:
     return F.array_distinct(F.concat(turned(words), turned(F.reverse(words))))
 
 
-def company_parts(companies: DataFrame) -> DataFrame:
+def company_text(company: Column) -> Column:
+    """Words of a company's name, folded, without what stands in brackets and without legal forms."""
+    y = F.trim(F.regexp_replace(F.regexp_replace(fold(company), r"\([^)]*\)?", " "), "[^a-z0-9]+", " "))
+    bare = F.trim(F.regexp_replace(F.regexp_replace(y, r"\bve dis tic(aret)?\b", " "), rf"\b(?:{LEGAL})\b|\ba s\b", " "))
+    return F.when(~y.isin(*PLACEHOLDERS) & (F.length(y) > 2), bare)
+
+
+#: A word is a line of business if so large a share of all names of several words end in it, at least so many, and it mostly stands there.
+LINE_SHARE = 0.005
+LINE_COUNT = 20
+
+
+def business_lines(companies: DataFrame) -> list[str]:
+    """Words that many companies' names end in, beside SECTORS. Each takes LINE_SHARE of the names, so there are at most 1 / LINE_SHARE."""
+    t = companies.select(F.filter(F.split(company_text(F.col("company")), " +"), lambda w: w != "").alias("ws")).where("size(ws) > 1")
+    w = t.select(F.posexplode("ws").alias("pos", "w"), F.size("ws").alias("n")).groupBy("w").agg(F.count("*").alias("all"), F.count_if(F.col("pos") == F.col("n") - 1).alias("last"))
+    total = t.agg(F.count("*").alias("total"))
+    found = w.crossJoin(F.broadcast(total)).where((F.length("w") > 3) & (F.col("last") >= LINE_COUNT) & (F.col("last") >= LINE_SHARE * F.col("total")) & (2 * F.col("last") > F.col("all")))  # total is one row
+    return sorted({r.w for r in found.select("w").collect()} | set(SECTORS))
+
+
+def company_parts(companies: DataFrame, lines: Sequence[str] = SECTORS) -> DataFrame:
     """(id, company) to (id, core, sector, orders): the words that are neither legal form nor line of business, joined as typed and in
     other orders; sector null if none."""
     y = F.col("y")
-    t = companies.where(present(F.col("company"))).withColumn("y", F.regexp_replace(fold(F.col("company")), r"\([^)]*\)?", " "))
-    t = t.withColumn("y", F.trim(F.regexp_replace(y, "[^a-z0-9]+", " ")))
-    t = t.where(~y.isin(*PLACEHOLDERS) & (F.length(y) > 2))
-    t = t.withColumn("y", F.trim(F.regexp_replace(F.regexp_replace(y, r"\bve dis tic(aret)?\b", " "), rf"\b(?:{LEGAL})\b|\ba s\b", " ")))
-    sectors, short = F.array(*map(F.lit, SECTORS)), F.create_map(*[F.lit(x) for kv in SECTOR_SHORT.items() for x in kv])
+    t = companies.where(present(F.col("company"))).withColumn("y", company_text(F.col("company"))).where("y IS NOT NULL")
+    sectors, short = F.array(*map(F.lit, lines)), F.create_map(*[F.lit(x) for kv in SECTOR_SHORT.items() for x in kv])
     slip = lambda s, w: (F.length(w) > 4) & (F.levenshtein(s, w) <= F.when(F.length(w) < 7, 1).otherwise(2))
     known = lambda w: F.get(F.filter(sectors, lambda s: s.startswith(w) | slip(s, w)), F.lit(0))
     sector_of = lambda w: F.coalesce(F.try_element_at(short, w), F.when(F.length(w) >= 3, known(w)))
@@ -276,14 +295,14 @@ def same_organisations(spellings: DataFrame) -> DataFrame:
     return s.join(roots, "node").select("core", "sector", "root")
 
 
-def same_company_names(companies: DataFrame) -> DataFrame:
+def same_company_names(companies: DataFrame, everyone: DataFrame | None = None) -> DataFrame:
     """(id, company) to pairs (a, b), a < b, of ids whose companies are one organisation.
 
     An organisation is its core name, whatever slips, order (see word_orders), spacing or legal form, within one line of business.
-    A value without a line of business belongs to the organisation of that core if there is only one. Initials of words find no
-    partner.
+    Lines of business are those of SECTORS and those that the names of ``everyone`` show. A value without one belongs to the
+    organisation of that core if there is only one. Initials of words find no partner.
     """
-    p = cut(company_parts(companies).dropDuplicates(["id"]))
+    p = cut(company_parts(companies, business_lines(companies if everyone is None else everyone)).dropDuplicates(["id"]))
     roots = same_organisations(p.groupBy("core", "sector").agg(F.array_distinct(F.flatten(F.collect_set("orders"))).alias("orders"))).select(F.col("core").alias("c"), F.col("sector").alias("s"), F.col("root").alias("cls"))
     p = p.join(roots, (F.col("core") == F.col("c")) & F.col("sector").eqNullSafe(F.col("s"))).select("id", "cls")
     return pairs_of_links(p.select(F.col("cls").alias("ca"), F.col("cls").alias("cb")).distinct(), p)
@@ -302,6 +321,6 @@ def variant_names(records: DataFrame, events: DataFrame, given_name_forms: DataF
     r = cut(r.join(e, "id").dropDuplicates(["id"]))
     all_names = records.select(F.col(id_col).alias("id"), F.col("first_name").alias("first"), F.col("last_name").alias("last"))
     person = same_person_names(r.where("person").select("id", "first", "last"), given_name_forms, all_names)
-    org = same_company_names(r.where("org").select("id", "company"))
+    org = same_company_names(r.where("org").select("id", "company"), records.select("company"))
     out = person.withColumn("name_kind", F.lit("person")).unionByName(org.withColumn("name_kind", F.lit("company")))
     return out.select("name_kind", F.col("a").alias(f"{id_col}_a"), F.col("b").alias(f"{id_col}_b"))
