@@ -239,7 +239,8 @@ def company_parts(companies: DataFrame, lines: Sequence[str] = SECTORS) -> DataF
     t = companies.where(present(F.col("company"))).withColumn("y", company_text(F.col("company"))).where("y IS NOT NULL")
     sectors, short = F.array(*map(F.lit, lines)), F.create_map(*[F.lit(x) for kv in SECTOR_SHORT.items() for x in kv])
     slip = lambda s, w: (F.length(w) > 4) & (F.levenshtein(s, w) <= F.when(F.length(w) < 7, 1).otherwise(2))
-    known = lambda w: F.get(F.filter(sectors, lambda s: s.startswith(w) | slip(s, w)), F.lit(0))
+    near = lambda w: F.transform(F.filter(sectors, lambda s: s.startswith(w) | slip(s, w)), lambda s: F.struct(F.when(s.startswith(w), 0).otherwise(F.levenshtein(s, w)).alias("edits"), s.alias("s")))
+    known = lambda w: F.array_min(near(w))["s"]
     sector_of = lambda w: F.coalesce(F.try_element_at(short, w), F.when(F.length(w) >= 3, known(w)))
     t = t.withColumn("ws", F.transform(F.filter(F.split(y, " +"), lambda w: w != ""), lambda w: F.struct(w.alias("w"), sector_of(w).alias("s"))))
     first = F.get(F.filter("ws", lambda x: x["s"].isNotNull()), F.lit(0))

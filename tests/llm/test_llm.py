@@ -166,6 +166,15 @@ def test_companies_mistyped_in_two_places(spark):
     assert got == {("a", "b"), ("c", "d"), ("h", "i")}  # e: another line of business; f, g: two edits in six letters
 
 
+def test_lines_of_business_are_learned(spark):
+    rows = [(f"m{k}", f"Firma{chr(97 + k)}an Magazacılık Ltd.") for k in range(24)] + [("x", "Yoğim Nutule Magazacılık"), ("y", "Yogim Nutule A.Ş."), ("z", "Yoğim Nutule Mabaacılık"), (None, None), ("n", "yok")]
+    df = spark.createDataFrame(rows, "id string, company string")
+    assert set(names.business_lines(df)) - set(names.SECTORS) == {"magazacilik"} and names.business_lines(df.limit(0)) == sorted(names.SECTORS)
+    # a slip goes to the nearest line, and the name without a line has two to choose from
+    got = {r.id: r.sector for r in names.company_parts(df, names.business_lines(df)).collect()}
+    assert (got["x"], got["y"], got["z"]) == ("magazacilik", None, "matbaacilik")
+
+
 def test_a_chain_of_slips_is_one_organisation(spark):
     cores = ["zovilupanekatu", "zovilupanekaxx", "zovilupanezzxx", "zoviluqqnezzxx", "zowwluqqnezzxx", "vvwwluqqnezzxx"]
     got = names.same_organisations(spark.createDataFrame([(c, "gida") for c in cores], "core string, sector string")).collect()
