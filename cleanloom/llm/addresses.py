@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cleanloom.functions.session import cut, lookup
-from cleanloom.functions.text import fold
+from cleanloom.functions.text import fold_py
 from cleanloom.llm.places import matchers, reference_entries, words
 from cleanloom.llm.strings import corrections
 
@@ -83,10 +83,17 @@ def address_parts(address: str, places: frozenset[str]) -> tuple[str, str | None
             quarter = quarter or word
         elif house is None:
             house, run = word, i - 2
-    others = [("+" if i == run else "") + t for i, t in enumerate(tokens) if at[i] == "free" and len(t) > 1 and t not in places and not _phrase(tokens, i, places)]
+    double = _double(places)
+    others = [("+" if i == run else "") + t for i, t in enumerate(tokens) if at[i] == "free" and len(t) > 1 and t not in places and not (t in double and _phrase(tokens, i, places))]
     return number, street, quarter, house or "", " ".join(others), code
 
 
+@lru_cache(8)
+def _double(places: frozenset[str]) -> frozenset[str]:
+    """The words of the names of places of two words."""
+    return frozenset(w for p in places if p.count(" ") == 1 for w in p.split(" "))
+
+
 def _phrase(tokens: list[str], i: int, places: frozenset[str]) -> bool:
     """Whether a word is part of the name of a place of two words."""
     return i + 1 < len(tokens) and f"{tokens[i]} {tokens[i + 1]}" in places or i > 0 and f"{tokens[i - 1]} {tokens[i]}" in places
@@ -96,16 +103,19 @@ PARTS = ("number", "street", "quarter", "house", "others", "postcode", "city_id"
 
 
 def read_addresses(records: DataFrame, reference: DataFrame, aliases: DataFrame, columns: tuple[str, str, str] = ("address", "city", "district")) -> DataFrame:
-    """The records with the parts of their address (address_parts) and the city it lies in; null where it names no building; no shuffle."""
+    """The records with the parts of their address (address_parts) and the city it lies in; null where it names no building; no shuffle.
+
+    A condition on the parts belongs behind cut(): the optimizer would put it below the worker and read every address twice.
+    """
     entries = reference_entries(reference, aliases)
     t = records.withColumns({f"_in_{k}": F.col(c).cast("string") for k, c in zip("acd", columns)})
     usable = F.col("_in_a").rlike(r"\p{Nd}") & F.col("_in_a").rlike(r"\p{L}{2}")
-    t = t.withColumn("_p", parts_udf(entries)("_in_c", "_in_d", F.when(usable, fold(F.col("_in_a")))))
+    t = t.withColumn("_p", parts_udf(entries)("_in_c", "_in_d", F.when(usable, F.col("_in_a"))))
     return t.select(*records.columns, *(F.col(f"_p.{c}").alias(c) for c in PARTS))
 
 
 def parts_udf(entries: dict[str, list[tuple[int, str, int | None]]]) -> Callable[[Column, Column, Column], Column]:
-    """(city, district, address) to the parts of the address and the city: of the city value, else the last one named in the address,
+    """(city, district, address as typed) to the parts of the address and the city: of the city value, else the last one named in the address,
     else that of a district of one city."""
 
     @F.pandas_udf("number string, street string, quarter string, house string, others string, postcode string, city_id int")
@@ -133,7 +143,7 @@ def parts_udf(entries: dict[str, list[tuple[int, str, int | None]]]) -> Callable
         for cs, ds, aa in parts:
             columns: tuple[list, ...] = tuple([None] * len(aa) for _ in PARTS)
             for i, (c, d, a) in enumerate(zip(cs, ds, aa)):
-                p = address_parts(a, places) if a is not None else None
+                p = address_parts(a := fold_py(a), places) if a is not None else None
                 if p is not None:
                     for column, v in zip(columns, p):
                         column[i] = v

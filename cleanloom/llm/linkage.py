@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from operator import and_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cleanloom.functions.session import cut, drop
@@ -56,29 +54,24 @@ def signatures(people: DataFrame, reference: DataFrame, aliases: DataFrame) -> t
     """
     t = people.select("side", "rid", "first", "last", email_key(F.col("email")).alias("email"), phone_key(F.col("phone")).alias("phone"), "address", "city", "district")
     t = read_addresses(t, reference, aliases).drop("address", "city", "district", "quarter")
-    t = cut(t.where("email IS NOT NULL OR phone IS NOT NULL OR number IS NOT NULL").withColumn("id", F.monotonically_increasing_id()))
+    t = cut(t.withColumn("id", F.monotonically_increasing_id())).where("email IS NOT NULL OR phone IS NOT NULL OR number IS NOT NULL")
     house = F.when(F.col("street").isNotNull(), F.concat_ws(" ", "street", "number"))
     full = settle_addresses(t).select("id", "side", "rid", "first", "last", "email", "phone", house.alias("house"), F.when(F.col("street").isNotNull(), F.col("city_id")).alias("city_id"))
     # which rows can match is told by hashes of the blocks alone: an equal hash lets a row too many through, never one too few
-    key = cut(full.select("id", "side", F.explode(F.transform(blocks(), lambda k: F.xxhash64(k))).alias("key")))
+    key = cut(full.select("id", "side", F.explode(F.array(*(F.when(k.isNotNull(), F.xxhash64(k)) for k in blocks()))).alias("key")).where("key IS NOT NULL"))
     mine, theirs = key.where("side = 'a'").select("id", "key"), key.where("side = 'b'").select("key").distinct()
     first = mine.join(theirs, "key", "left_semi").select("id").distinct()
     reached = mine.join(first, "id", "left_semi").select("key").distinct()
     second = mine.join(reached, "key", "left_semi").select("id").distinct()
     part = cut(full.where("side = 'a'").join(second, "id", "left_semi").unionByName(full.where("side = 'b' AND (email IS NOT NULL OR phone IS NOT NULL OR house IS NOT NULL)")))
-    names = name_parts(part.select("id", "first", "last"), t.select("id", "first", "last"), least=1)
     attrs = ["side", "surname", "givens", "email", "phone", "house", "city_id"]
-    t = cut(part.drop("first", "last").join(names, "id"))
-    c = cut(t.groupBy(*attrs).agg(F.min("id").alias("cls")))
-    same = reduce(and_, (F.col(f"t.{a}").eqNullSafe(F.col(f"c.{a}")) for a in ("email", "phone", "house", "city_id", "givens")))
-    member = t.alias("t").join(c.alias("c"), (F.col("t.side") == F.col("c.side")) & (F.col("t.surname") == F.col("c.surname")) & same).select("c.cls", "t.side", "t.rid")
-    return c, member
+    t = cut(name_parts(part, t.select("first", "last"), least=1).withColumn("cls", F.min("id").over(Window.partitionBy(*attrs))))
+    return t.where("id = cls").select(*attrs, "cls"), t.select("cls", "side", "rid")
 
 
-def blocks() -> Column:
-    """The values under which records meet: partly equal ones suffice (an e-mail name at any domain, the last seven digits, a house in any city)."""
-    parts = (F.concat(F.lit("e"), F.substring_index("email", "@", 1)), F.concat(F.lit("p"), F.substring("phone", 4, 7)), F.concat(F.lit("h"), F.col("house")))
-    return F.array_compact(F.array(*parts))
+def blocks() -> tuple[Column, ...]:
+    """The values under which records meet, or null: partly equal ones suffice (an e-mail name at any domain, the last seven digits, a house in any city)."""
+    return F.concat(F.lit("e"), F.substring_index("email", "@", 1)), F.concat(F.lit("p"), F.substring("phone", 4, 7)), F.concat(F.lit("h"), F.col("house"))
 
 
 def candidates(c: DataFrame, forms: list[tuple[str, str]]) -> DataFrame:
@@ -89,7 +82,7 @@ def candidates(c: DataFrame, forms: list[tuple[str, str]]) -> DataFrame:
     A block is one value with one name, so a value shared by many people (a switchboard, a mall) falls apart by name.
     """
     name_keys = F.filter(F.concat(F.array(F.col("surname")), F.col("givens")), lambda g: F.length(g) > 1)
-    k = c.withColumn("name", F.explode(name_keys)).withColumn("key", F.explode(blocks())).select("cls", "side", F.xxhash64("name", "key").alias("key"))
+    k = c.withColumn("name", F.explode(name_keys)).withColumn("key", F.explode(F.array(*blocks()))).where("key IS NOT NULL").select("cls", "side", F.xxhash64("name", "key").alias("key"))
     a, b = k.where("side = 'a'").select("key", F.col("cls").alias("u")), k.select("key", F.col("cls").alias("v"), "side")
     pairs = a.join(b, "key").where("side = 'b' OR u < v").select("u", "v").distinct()
     side = lambda s: c.select(*[F.col(x).alias(f"{x}_{s}") for x in ("side", "surname", "givens", "email", "phone", "house", "city_id")], F.col("cls").alias(s))

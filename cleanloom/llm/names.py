@@ -58,7 +58,8 @@ def name_vocabulary(tokens: DataFrame) -> DataFrame:
 
 
 def name_parts(people: DataFrame, everyone: DataFrame | None = None, least: int = 2) -> DataFrame:
-    """(id, first, last) to (id, surname, givens): a row for each row with at least ``least`` tokens, in whatever order they were typed.
+    """(first, last, any others) to (the others, surname, givens): a row for each row with at least ``least`` tokens, in whatever order
+    they were typed.
 
     Names are taken apart once for each way they are typed, not for each row. Tokens are corrected against all tokens of ``everyone``
     (people, if not given). The surname is the token that, as corrected, is least often a first name; givens holds the other tokens
@@ -74,8 +75,8 @@ def name_parts(people: DataFrame, everyone: DataFrame | None = None, least: int
     givens = F.transform(F.filter("ts", lambda x: F.col("alone") | (x["place"] != F.col("s.place"))), lambda x: x["fixed"])
     parts = g.select("name_no", F.when(F.col("alone"), "").otherwise(F.col("s.fixed")).alias("surname"), F.array_sort(givens).alias("givens")).where((F.length("surname") > 1) | (F.col("surname") == ""))
     parts = mine.join(parts, "name_no").select("first", "last", "surname", "givens")
-    rows = people.select("id", F.coalesce("first", F.lit("")).alias("first"), F.coalesce("last", F.lit("")).alias("last"))
-    return rows.join(lookup(parts), ["first", "last"]).select("id", "surname", "givens")
+    rows = people.withColumns({c: F.coalesce(c, F.lit("")) for c in ("first", "last")})
+    return rows.join(lookup(parts), ["first", "last"]).drop("first", "last")
 
 
 def short_form(long: str, short: str) -> bool:

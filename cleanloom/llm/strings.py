@@ -108,7 +108,7 @@ def corrections(counts: DataFrame, dominance: int = 4, shortest: int = 6) -> Dat
     c = counts.where(F.length("token") >= shortest)
     # forms meet by their hashes; whether two words really are near is settled below
     forms = c.select("token", "n", F.explode(F.transform(delete_forms(F.col("token")), lambda f: F.xxhash64(f))).alias("form"))
-    b = forms.select("form", F.col("token").alias("fixed"), F.col("n").alias("n_fixed"))
+    b = forms.where(F.col("n") >= dominance).select("form", F.col("token").alias("fixed"), F.col("n").alias("n_fixed"))  # a token occurs once at least
     near = forms.join(b, "form").where((F.col("token") != F.col("fixed")) & (F.col("n_fixed") >= F.col("n") * dominance)).select("token", "fixed", "n_fixed").distinct()
     swap = F.array_sort(F.split("token", "")) == F.array_sort(F.split("fixed", ""))
     apart = F.levenshtein("token", "fixed")

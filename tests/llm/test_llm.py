@@ -211,6 +211,15 @@ def test_coupling_decides_matches(spark, ref):
     assert alone == {("a1", "b1"), ("a5", "b5"), ("a3", "b3"), ("a4", "b3")}  # without coupling: one link lost, one false
 
 
+def test_every_address_is_read_once(spark, ref, monkeypatch):
+    plans, real = [], linkage.cut
+    monkeypatch.setattr(linkage, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    t = spark.createDataFrame([("a1", "Ayşegül", "Topavar", None, None, "Zilöpa", None, "Nanofodüt Cad. No:7")], ", ".join(f"{c} string" for c in P7))
+    c, member = linkage.signatures(linkage.people_rows(t, P7, "a").unionByName(linkage.people_rows(t, P7, "b")), *ref)
+    assert plans[0].count("ArrowEvalPython") == 2  # once in each table
+    assert {(r.side, r.house, r.city_id) for r in c.collect()} == {("a", "nanofodut 7", 2), ("b", "nanofodut 7", 2)} and member.count() == 2
+
+
 def test_alternating_directions_reach_the_optimum(spark):
     v = spark.createDataFrame([(1, 3.0, 1.0), (2, 0.0, 1.0), (3, 2.0, 1.0)], "var long, t double, z double")
     r = spark.createDataFrame([(1, 2, "same", 1.0), (1, 3, "other", 0.0)], "i long, j long, kind string, p double")
