@@ -65,7 +65,8 @@ def signatures(people: DataFrame, reference: DataFrame, aliases: DataFrame) -> t
     second = mine.join(reached, "key", "left_semi").select("id").distinct()
     part = cut(full.where("side = 'a'").join(second, "id", "left_semi").unionByName(full.where("side = 'b' AND (email IS NOT NULL OR phone IS NOT NULL OR house IS NOT NULL)")))
     attrs = ["side", "surname", "givens", "email", "phone", "house", "city_id"]
-    t = cut(name_parts(part, t.select("first", "last"), least=1).withColumn("cls", F.min("id").over(Window.partitionBy(*attrs))))
+    # the hash comes first, as a sort compares its first column by itself
+    t = cut(name_parts(part, t.select("first", "last"), least=1).withColumn("cls", F.min("id").over(Window.partitionBy(F.xxhash64(*attrs), *attrs))))
     return t.where("id = cls").select(*attrs, "cls"), t.select("cls", "side", "rid")
 
 
@@ -81,8 +82,8 @@ def candidates(c: DataFrame, forms: list[tuple[str, str]]) -> DataFrame:
 
     A block is one value with one name, so a value shared by many people (a switchboard, a mall) falls apart by name.
     """
-    name_keys = F.filter(F.concat(F.array(F.col("surname")), F.col("givens")), lambda g: F.length(g) > 1)
-    k = c.withColumn("name", F.explode(name_keys)).withColumn("key", F.explode(F.array(*blocks()))).where("key IS NOT NULL").select("cls", "side", F.xxhash64("name", "key").alias("key"))
+    k = c.withColumn("name", F.explode(F.concat(F.array(F.col("surname")), F.col("givens")))).where(F.length("name") > 1)
+    k = k.withColumn("key", F.explode(F.array(*blocks()))).where("key IS NOT NULL").select("cls", "side", F.xxhash64("name", "key").alias("key"))
     a, b = k.where("side = 'a'").select("key", F.col("cls").alias("u")), k.select("key", F.col("cls").alias("v"), "side")
     pairs = a.join(b, "key").where("side = 'b' OR u < v").select("u", "v").distinct()
     side = lambda s: c.select(*[F.col(x).alias(f"{x}_{s}") for x in ("side", "surname", "givens", "email", "phone", "house", "city_id")], F.col("cls").alias(s))

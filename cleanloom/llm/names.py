@@ -76,7 +76,7 @@ def name_parts(people: DataFrame, everyone: DataFrame | None = None, least: int
     parts = g.select("name_no", F.when(F.col("alone"), "").otherwise(F.col("s.fixed")).alias("surname"), F.array_sort(givens).alias("givens")).where((F.length("surname") > 1) | (F.col("surname") == ""))
     parts = mine.join(parts, "name_no").select("first", "last", "surname", "givens")
     rows = people.withColumns({c: F.coalesce(c, F.lit("")) for c in ("first", "last")})
-    return rows.join(lookup(parts), ["first", "last"]).drop("first", "last")
+    return rows.join(lookup(parts), ["last", "first"]).drop("first", "last")
 
 
 def short_form(long: str, short: str) -> bool:

@@ -29,7 +29,7 @@ def email_key(x: Column) -> Column:
 
 def phone_key(x: Column) -> Column:
     """The ten digits of a phone number, null unless usable: masked ones (``*`` or ``X``) and those with other lengths are not."""
-    d = F.regexp_replace(F.regexp_replace(x, r"\P{Nd}", ""), r"^(?:00)?(?:90)?0?", "")
+    d = F.regexp_replace(F.regexp_replace(x, r"\P{Nd}+", ""), r"^(?:00)?(?:90)?0?", "")
     return F.when(d.rlike(r"^[2-9][0-9]{9}$") & ~x.rlike(r"[*\p{L}]"), d)
 
 
