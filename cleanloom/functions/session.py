@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import os
 import shutil
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +68,21 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Spark's switch for deleting the shuffle files of a plan as soon as it has run.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of plans that run in here go when the plan ends, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
@@ -77,7 +94,8 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     home = checkpoint_dir(spark).rstrip("/")
     path = f"{home}/cleanloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_end(spark):
+        df.write.parquet(path)
     if not _WRITTEN:
         atexit.register(_drop_written)
     _WRITTEN.append((spark, path))

@@ -54,7 +54,8 @@ def signatures(people: DataFrame, reference: DataFrame, aliases: DataFrame) -> t
     """
     t = people.select("side", "rid", "first", "last", email_key(F.col("email")).alias("email"), phone_key(F.col("phone")).alias("phone"), "address", "city", "district")
     t = read_addresses(t, reference, aliases).drop("address", "city", "district", "quarter")
-    t = cut(t.withColumn("id", F.monotonically_increasing_id())).where("email IS NOT NULL OR phone IS NOT NULL OR number IS NOT NULL")
+    read = cut(t.withColumn("id", F.monotonically_increasing_id()))
+    t = read.where("email IS NOT NULL OR phone IS NOT NULL OR number IS NOT NULL")
     house = F.when(F.col("street").isNotNull(), F.concat_ws(" ", "street", "number"))
     full = settle_addresses(t).select("id", "side", "rid", "first", "last", "email", "phone", house.alias("house"), F.when(F.col("street").isNotNull(), F.col("city_id")).alias("city_id"))
     # which rows can match is told by hashes of the blocks alone: an equal hash lets a row too many through, never one too few
@@ -67,6 +68,8 @@ def signatures(people: DataFrame, reference: DataFrame, aliases: DataFrame) -> t
     attrs = ["side", "surname", "givens", "email", "phone", "house", "city_id"]
     # the hash comes first, as a sort compares its first column by itself
     t = cut(name_parts(part, t.select("first", "last"), least=1).withColumn("cls", F.min("id").over(Window.partitionBy(F.xxhash64(*attrs), *attrs))))
+    for past in (read, key, part):
+        drop(past)
     return t.where("id = cls").select(*attrs, "cls"), t.select("cls", "side", "rid")
 
 

@@ -1,10 +1,12 @@
 import datetime
 import itertools
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from cleanloom.functions.session import cut
 from cleanloom.functions.text import fold_py
 from cleanloom.llm import linkage, mixing, names, packing, places, splitting, survivors, tokens
 from cleanloom.llm.addresses import address_parts, building_classes, same_buildings
@@ -220,6 +222,18 @@ def test_every_address_is_read_once(spark, ref, monkeypatch):
     assert {(r.side, r.house, r.city_id) for r in c.collect()} == {("a", "nanofodut 7", 2), ("b", "nanofodut 7", 2)} and member.count() == 2
 
 
+def test_what_the_classes_are_made_of_is_deleted(spark, ref, monkeypatch):
+    made = []
+    monkeypatch.setattr(linkage, "cut", lambda df: made.append(x := cut(df)) or x)
+    person = {"first_name": "Zuhal", "last_name": "Kodemir", "email": "zk@zz.example", "address": "Mukete Cd. No:52"}
+    people = linkage.people_rows(rec(spark, [person | {"source_record_id": "a"}]), linkage.SOURCE, "a")
+    people = people.unionByName(people.withColumn("side", F.lit("b")))
+    classes, member = linkage.signatures(people, *ref)
+    assert member.count() == 2
+    left = [x for x in made if os.path.exists(x.inputFiles()[0].removeprefix("file://").removeprefix("file:"))]
+    assert len(made) == 4 and left == made[-1:]
+
+
 def test_alternating_directions_reach_the_optimum(spark):
     v = spark.createDataFrame([(1, 3.0, 1.0), (2, 0.0, 1.0), (3, 2.0, 1.0)], "var long, t double, z double")
     r = spark.createDataFrame([(1, 2, "same", 1.0), (1, 3, "other", 0.0)], "i long, j long, kind string, p double")
