@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -196,7 +198,7 @@ def same_person_names(people: DataFrame, given_name_forms: DataFrame, everyone:
     clash = x.join(x.withColumnRenamed("p", "q"), "ca").where("p < q").join(both.select(F.col("ca").alias("p"), F.col("cb").alias("q")), ["p", "q"], "left_anti")
     doubtful = cut(clash.select("ca").distinct())
     good = near.select("ca", "cb").join(doubtful, "ca", "left_anti").join(doubtful.withColumnRenamed("ca", "cb"), "cb", "left_anti")
-    good = good.unionByName(c.select(F.col("cls").alias("ca"), F.col("cls").alias("cb")))
+    good = cut(good.unionByName(c.select(F.col("cls").alias("ca"), F.col("cls").alias("cb"))))
     return pairs_of_links(good, cut(parts.join(c, ["surname", "givens"]).select("id", "cls")))
 
 
@@ -260,9 +262,17 @@ def same_core(cores: DataFrame) -> DataFrame:
     return s.join(roots, "node").join(names, "root").select("core", F.col("name").alias("root"))
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node) and links (x, y) to (node, root): what links connect gets one root, over as many steps as the longest chain takes."""
-    both = cut(links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))))
+#: Links up to which components() follows them in one task; more of them are followed step by step over tables.
+FEW_LINKS = 1_000_000
+
+
+def components(nodes: DataFrame, links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
+    """(node) and links (x, y) to (node, root): what links connect gets one root, its least node, however long the chains are."""
+    links = cut(links.select("x", "y"))
+    if links.count() <= few:
+        roots = links.coalesce(1).mapInArrow(joined, "node long, root long")
+        return cut(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    both = cut(links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))))
     roots = nodes.select("node", F.col("node").alias("root"))
     moved = True
     while moved:
@@ -273,6 +283,24 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return roots
 
 
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of all links (x, y) to (node, root) of the nodes that they name."""
+    parts = [np.stack([b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)]) for b in batches if b.num_rows]
+    if not parts:
+        return
+    nodes, at = np.unique(np.concatenate(parts, axis=1), return_inverse=True)
+    x, y = at.reshape(2, -1)
+    root, old = np.arange(len(nodes)), None
+    while old is None or (root != old).any():
+        old, low = root, np.minimum(root[x], root[y])
+        root = old.copy()
+        np.minimum.at(root, old[x], low)
+        np.minimum.at(root, old[y], low)
+        while (root != (further := root[root])).any():
+            root = further
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "root"])
+
+
 def same_organisations(spellings: DataFrame) -> DataFrame:
     """(core, sector) distinct, with or without orders, to (core, sector, root): the spellings of one organisation get one root.
 
@@ -306,7 +334,7 @@ def same_company_names(companies: DataFrame, everyone: DataFrame | None = None)
     """
     p = cut(company_parts(companies, business_lines(companies if everyone is None else everyone)).dropDuplicates(["id"]))
     roots = same_organisations(p.groupBy("core", "sector").agg(F.array_distinct(F.flatten(F.collect_set("orders"))).alias("orders"))).select(F.col("core").alias("c"), F.col("sector").alias("s"), F.col("root").alias("cls"))
-    p = p.join(roots, (F.col("core") == F.col("c")) & F.col("sector").eqNullSafe(F.col("s"))).select("id", "cls")
+    p = cut(p.join(roots, (F.col("core") == F.col("c")) & F.col("sector").eqNullSafe(F.col("s"))).select("id", "cls"))
     return pairs_of_links(p.select(F.col("cls").alias("ca"), F.col("cls").alias("cb")).distinct(), p)
 
 

@@ -183,6 +183,30 @@ def test_a_chain_of_slips_is_one_organisation(spark):
     assert len(got) == 6 and len({r.root for r in got}) == 1
 
 
+@pytest.mark.parametrize("few", [0, names.FEW_LINKS])
+def test_components_by_either_way(spark, few):
+    rng = random.Random(3)
+    links = [(i, i + 1) for i in range(0, 40)] + [(rng.randint(100, 200), rng.randint(100, 200)) for _ in range(60)] + [(2**40, 2**50)]
+    root = {n: n for n in [*range(201), 2**40, 2**50, 7000]}
+    while any(root[x] != root[y] for x, y in links):
+        for x, y in links:
+            root[x] = root[y] = min(root[x], root[y])
+    nodes = spark.createDataFrame([(n,) for n in root], "node long")
+    got = names.components(nodes, spark.createDataFrame(links, "x long, y long").repartition(3), few)
+    assert {r.node: r.root for r in got.collect()} == root
+    assert {r.node: r.root for r in names.components(nodes, spark.createDataFrame([], "x long, y long"), few).collect()} == {n: n for n in root}
+
+
+def test_a_long_chain_takes_no_more_jobs(spark):
+    def jobs(n):
+        spark.sparkContext.setJobGroup(f"chain {n}", "")
+        nodes, links = spark.range(n).toDF("node"), spark.range(n - 1).select(F.col("id").alias("x"), (F.col("id") + 1).alias("y"))
+        assert names.components(nodes, links).where("root = 0").count() == n
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"chain {n}"))
+
+    assert jobs(12) == jobs(3)
+
+
 def test_companies_in_any_order_of_words(spark):
     rows = [("a", "Nutule Yoğim Gıda"), ("b", "Yoğim Nutule Gıda Ltd."), ("c", "YogimNutuel"), ("d", "Yoğim Nutule Kimya"), ("e", "Zofu Kadige Lomura Turizm"), ("f", "Lomura Kadgie Zofu Turizm")]
     got = {tuple(x) for x in names.same_company_names(spark.createDataFrame(rows[:2] + rows[3:], "id string, company string")).collect()}
