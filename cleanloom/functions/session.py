@@ -53,15 +53,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return have
 
 
-#: Seconds that lie between two collections of garbage at least.
-TIDY_EVERY = 30.0
+#: Seconds that lie between two collections of garbage at least, and while the driver's heap takes more than HEAP_SHARE of what it may.
+TIDY_EVERY, TIDY_FULL, HEAP_SHARE = 30.0, 5.0, 0.4
 _tidied = 0.0
 
 
 def tidy(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver collects garbage."""
+    """Lets the driver give back what plans that nothing refers to any more have left: broadcast tables, states of stages, and heap."""
     global _tidied
-    if time.monotonic() - _tidied < TIDY_EVERY:
+    heap = spark.sparkContext._jvm.Runtime.getRuntime()
+    full = heap.totalMemory() > HEAP_SHARE * heap.maxMemory()
+    if time.monotonic() - _tidied < (TIDY_FULL if full else TIDY_EVERY):
         return
     _tidied = time.monotonic()
     gc.collect()

@@ -19,3 +19,13 @@ def test_a_cut_leaves_no_shuffle_files(spark, monkeypatch):
         time.sleep(0.2)
     assert not shuffle_files(spark) - before
     assert t.count() == 50 and spark.conf.get(session.CLEANUP, None) is None
+
+
+def test_a_grown_heap_is_tidied_sooner(spark, monkeypatch):
+    monkeypatch.setattr(session, "_tidied", at := time.monotonic() - session.TIDY_FULL - 1)
+    monkeypatch.setattr(session, "HEAP_SHARE", 1.0)
+    session.tidy(spark)
+    assert session._tidied == at
+    monkeypatch.setattr(session, "HEAP_SHARE", 0.0)
+    session.tidy(spark)
+    assert session._tidied > at
